@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, pii, quality_rules
+from . import mixing, ngram_join, pii, quality_rules
 from .common import table
 
 #: The key of the registered query; real runs pass their own.
@@ -24,5 +24,9 @@ def op8_surrogates(spark, sf_dir):
     return pii.surrogates(docs, PII_KEY).withColumn("entity_kinds", F.array_join("entity_kinds", ","))
 
 
-QUERIES = {"op2_quality_rules": op2_quality_rules, "op6_mixing": op6_mixing, "op8_surrogates": op8_surrogates}
-ORACLES = {"op2_quality_rules": quality_rules.oracle(), "op6_mixing": mixing.oracle()}
+def op10_ngram_join(spark, sf_dir):
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_quality_rules": op2_quality_rules, "op6_mixing": op6_mixing, "op8_surrogates": op8_surrogates, "op10_ngram_join": op10_ngram_join}
+ORACLES = {"op2_quality_rules": quality_rules.oracle(), "op6_mixing": mixing.oracle(), "op10_ngram_join": ngram_join.oracle()}
