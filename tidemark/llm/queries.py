@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, pii, quality_rules
+from . import compact_windows, decontam, mixing, ngram_join, pii, quality_rules
 from .common import table
 
 #: The key of the registered query; real runs pass their own.
@@ -28,5 +28,13 @@ def op10_ngram_join(spark, sf_dir):
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_quality_rules": op2_quality_rules, "op6_mixing": op6_mixing, "op8_surrogates": op8_surrogates, "op10_ngram_join": op10_ngram_join}
+def op5_decontamination(spark, sf_dir):
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_compact_windows(spark, sf_dir):
+    return compact_windows.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op5_decontamination": op5_decontamination, "op9_compact_windows": op9_compact_windows, "op2_quality_rules": op2_quality_rules, "op6_mixing": op6_mixing, "op8_surrogates": op8_surrogates, "op10_ngram_join": op10_ngram_join}
 ORACLES = {"op2_quality_rules": quality_rules.oracle(), "op6_mixing": mixing.oracle(), "op10_ngram_join": ngram_join.oracle()}
