@@ -34,6 +34,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def without(df: DataFrame, ids: DataFrame, key: str, most: int = 500_000) -> DataFrame:
+    """The rows of ``df`` whose key is not in ``ids``; up to ``most`` ids are counted and broadcast, more are joined by shuffle."""
+    n = ids.count()
+    if not n:
+        return df
+    return df.join(F.broadcast(ids) if n <= most else ids, key, "left_anti")
+
+
+def bounded_sample(ids: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows, those with the smallest hashes of the key: the same ones on every run."""
+    return ids.orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(most)
+
+
 def components(links: DataFrame, a: str, b: str, max_rounds: int = 50) -> DataFrame:
     """Connected components of the links ``(a, b)``: ``(id, component)`` with the smallest id reachable.
 

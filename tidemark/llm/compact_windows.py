@@ -7,10 +7,12 @@ equal minima over a sliding window of that width, so all of them are read off wi
 minima; ``cartesian_windows`` builds the tree itself, and the tests hold the two against each other.
 
 The windows of two hash functions are intersected within each text: a run of places where both minima stay equal is a
-group of passages that share two signatures. Texts are joined on them in several independent pairs of functions. In each
-group of equal signatures the members are compared with the smallest text; members that share no verified passage
-with it there form the group of the next round, until none is left, so no link is lost. A passage is verified by its
-shingles: Jaccard similarity at least ``percent``. Identical texts are put behind one representative first.
+group of passages that share two signatures. Texts are joined on them in several independent groups of functions. In each
+bucket of equal signatures the members are compared with the smallest text. Members that share no verified passage with it there
+are compared pair by pair if few are left; else (a frequent phrase shorter than a passage) their texts are signed
+again with twice as many functions, which tells such phrases from passages. At the last level the members of a bucket are compared with one
+of them after another until none is left. A passage is verified by its shingles: Jaccard similarity at
+least ``percent``. Identical texts are put behind one representative first.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, without
 from .tokens import scramble, shingles, token_hashes
 
 WIDTH = 5
+#: Buckets up to this size are compared pair by pair; larger ones are signed again, with LAST functions at most.
+SMALL, LAST = 32, 16
 PASSAGES = "doc_id long, begin_word long, n_words long, source_doc_id long, source_begin_word long, source_n_words long, similarity double"
 
 
@@ -47,26 +51,32 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(h) - width + 1], m[width - span : width - span + len(h) - width + 1])
 
 
-def signatures(s: np.ndarray, least: int, pairs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the distinct signature pairs of the text and the first place of each."""
+def signatures(s: np.ndarray, least: int, groups: int, functions: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the distinct signatures of the text in each group of functions, and the first place of each."""
     keys, places = [], []
-    for p in range(pairs):
-        one, two = (sliding_min(scramble(s, 31 + 2 * p + i), least) for i in (0, 1))
-        turn = np.flatnonzero(np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
-        k, first = np.unique(scramble(one[turn] * np.uint64(3) + two[turn], 57 + p), return_index=True)
+    for p in range(groups):
+        change = np.zeros(len(s) - least + 1, bool)
+        change[0] = True
+        key = np.full(len(change), functions, np.uint64)
+        for i in range(functions):
+            low = sliding_min(scramble(s, 1000 * functions + 100 * p + i), least)
+            change[1:] |= low[1:] != low[:-1]
+            key = key * np.uint64(0x100000001B3) + low
+        turn = np.flatnonzero(change)
+        k, first = np.unique(scramble(key[turn], 57 + p), return_index=True)
         keys.append(k)
         places.append(turn[first])
     return np.concatenate(keys), np.concatenate(places)
 
 
-def _signed(least: int, pairs: int):
+def _signed(least: int, groups: int, functions: int):
     def run(frames):
         for pdf in frames:
             ids, keys, places = [], [], []
             for i, h in token_hashes(pdf["text"].tolist()):
                 s = shingles(h, WIDTH)
                 if len(s) >= least:
-                    k, at = signatures(s, least, pairs)
+                    k, at = signatures(s, least, groups, functions)
                     ids.append(np.full(len(k), pdf["doc_id"].iat[i], np.int64))
                     keys.append(k)
                     places.append(at)
@@ -104,7 +114,12 @@ def passages(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> list[tup
         if not close.any():
             continue
         i, j = int(where[close].min()), int(where[close].max()) + 1
-        x, y = np.unique(a[lo:end]), np.unique(b[i:j])
+        x = np.unique(a[lo:end])
+        # repeated shingles were placed at their first occurrence only
+        reach = b[j : i + (end - lo)]
+        more = np.isin(reach, x)
+        j += int(np.argmin(more)) if len(more) and not more.all() else len(more)
+        y = np.unique(b[i:j])
         both = len(np.intersect1d(x, y, assume_unique=True))
         if 100 * both >= percent * (len(x) + len(y) - both):
             out.append((lo, end, i, j, both / (len(x) + len(y) - both)))
@@ -125,7 +140,7 @@ def _verify(least: int, percent: int):
 
 
 def repeated_passages(
-    docs: DataFrame, min_words: int = 50, percent: int = 80, pairs: int = 3, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, min_words: int = 50, percent: int = 80, groups: int = 3, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Passages of at least ``min_words`` words that an earlier document (smaller id) has too, with their source.
 
@@ -139,26 +154,46 @@ def repeated_passages(
     first = ids.groupBy("h").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
     copies = cut(ids.join(first, "h").where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("n").alias("n")), "copies")
 
-    rows = docs.mapInPandas(_signed(least, pairs), "key long, doc long, place int")
-    rows = rows.join(copies.select(F.col("doc_id").alias("doc")), "doc", "left_anti").select("key", "doc", "place")
     same = Window.partitionBy("key")
     pick = lambda r: r.withColumns({"pivot": F.min("doc").over(same), "last": F.max("doc").over(same)}).where("pivot <> last").drop("last")
-    left, found, tested = cut(pick(rows), "shared"), None, None
-    while not left.isEmpty():
-        links = left.where("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
-        links = cut(links if tested is None else links.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = links if tested is None else cut(tested.union(links), "tested")
-        wanted = links.select(F.col("a").alias("doc_id")).union(links.select("b")).distinct()
+    found = tested = None
+
+    def verify(pairs: DataFrame) -> None:
+        nonlocal found, tested
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = pairs if tested is None else cut(tested.union(pairs), "tested")
+        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         texts = cut(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-        wide = links.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+        wide = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
         wide = wide.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
         new = cut(wide.mapInPandas(_verify(least, percent), PASSAGES), "passages")
         found = new if found is None else cut(found.union(new), "found")
-        # settled: the place of the signature lies in a verified passage shared with the pivot
+
+    def turn(left: DataFrame) -> DataFrame:
+        """Compares with the pivots; the rows whose signature lies in no verified passage shared with theirs."""
+        verify(left.where("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct())
         hold = found.select(F.col("doc_id").alias("doc"), F.col("source_doc_id").alias("pivot"), "begin_word", (F.col("begin_word") + F.col("n_words")).alias("end"))
         settled = left.join(hold, ["doc", "pivot"]).where((F.col("place") < F.col("end")) & (F.col("place") + least > F.col("begin_word"))).select("key", "doc").distinct()
         rest = left.where("doc <> pivot").join(settled, ["key", "doc"], "left_anti").select("key", "doc", "place")
-        left = cut(pick(rest), "rest")
+        return cut(pick(rest), "rest")
+
+    functions, pool = 2, without(docs, copies.select("doc_id"), "doc_id")
+    while True:
+        rows = pool.mapInPandas(_signed(least, groups, functions), "key long, doc long, place int")
+        left = turn(cut(pick(rows), "shared"))
+        while functions == LAST and not left.isEmpty():
+            left = turn(left)
+        if left.isEmpty():
+            break
+        sized = cut(left.join(left.groupBy("key").agg(F.count("*").alias("m")), "key"), "sized")
+        few = sized.where(F.col("m") <= SMALL).select("key", "doc")
+        pairs = few.select("key", F.col("doc").alias("a")).join(few.select("key", F.col("doc").alias("b")), "key").where("a > b")
+        verify(pairs.select("a", "b").distinct())
+        many = cut(sized.where(F.col("m") > SMALL).select(F.col("doc").alias("doc_id")).distinct(), "many")
+        if many.isEmpty():
+            break
+        functions *= 2
+        pool = docs.join(many, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
     whole = copies.where(F.col("n") >= min_words).select("doc_id", F.lit(0).cast("long").alias("begin_word"), F.col("n").alias("n_words"), F.col("rep").alias("source_doc_id"), F.lit(0).cast("long").alias("source_begin_word"), F.col("n").alias("source_n_words"), F.lit(1.0).alias("similarity"))
-    return whole if found is None else found.union(whole)
+    return found.union(whole)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import compact_windows, decontam, mixing, ngram_join, pii, quality_rules
+from . import compact_windows, decontam, mixing, ngram_join, pii, quality_pu, quality_rules, toxicity
 from .common import table
 
 #: The key of the registered query; real runs pass their own.
@@ -36,5 +36,21 @@ def op9_compact_windows(spark, sf_dir):
     return compact_windows.repeated_passages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_decontamination": op5_decontamination, "op9_compact_windows": op9_compact_windows, "op2_quality_rules": op2_quality_rules, "op6_mixing": op6_mixing, "op8_surrogates": op8_surrogates, "op10_ngram_join": op10_ngram_join}
+def _remainder(n):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op1_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = toxicity.toxicity(docs, labels.where(_remainder(3) != 1), threshold=0.7)
+    return out.withColumn("held_out", _remainder(3) == 1)
+
+
+def op4_quality_classifier(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = quality_pu.quality(docs, labels.where((_remainder(5) != 0) & (F.col("quality") == 1)), threshold=0.3)
+    return out.withColumn("held_out", _remainder(5) == 0)
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_quality_classifier": op4_quality_classifier, "op5_decontamination": op5_decontamination, "op9_compact_windows": op9_compact_windows, "op2_quality_rules": op2_quality_rules, "op6_mixing": op6_mixing, "op8_surrogates": op8_surrogates, "op10_ngram_join": op10_ngram_join}
 ORACLES = {"op2_quality_rules": quality_rules.oracle(), "op6_mixing": mixing.oracle(), "op10_ngram_join": ngram_join.oracle()}
