@@ -1,31 +1,32 @@
 """N-gram Jaccard join by parity sketches.
 
-The distinct shingles of a text are hashed to the bits of a sketch, and each flips its bit. Two sketches of equal length
-differ in at most as many bits as the sets have elements in their symmetric difference, which a Jaccard similarity t bounds by
-(1 - t) / (1 + t) (|A| + |B|). Sizes fall into overlapping bands, so that each possible pair shares a band. In a band with bound k
-a sketch has k + 1 + z words of 32 bits: a pair within the bound agrees in more than z words, and if one of the two has at most z
-zero words, in a word that is not zero. So texts are joined on equal non-zero words (and on zero words only
-among the few texts with more than z of them), compared by whole sketch, and last by their shingles.
-
-Equal sets are first put behind one representative. In each group of equal words the members are compared with the smallest id.
+The distinct shingles of a text flip bits of a sketch at the places their hashes name, so two sketches differ in at most as many bits as
+the sets have elements in their symmetric difference, which a Jaccard similarity t bounds by (1 - t) / (1 + t) (|A| + |B|). Sizes
+fall into overlapping bands, so that each possible pair shares a band. In a band with bound k the sketch is cut into
+k + 1 + z parts; a pair within the bound agrees in more than z parts, and if one of the two has at most z empty
+parts, in one that is not empty. A part of a very long sparse sketch is held as the XOR of the hashes of its shingles.
+So texts are joined on equal parts (on empty ones only among the few texts with more than z of them), compared by
+the Hamming distance of a short sketch, and last by their shingles.
+
+Equal sets are first put behind one representative. In each group of equal parts the members are compared with the smallest id.
 Only groups that hold several components after that are looked into again: all their pairs of different components if the group is small,
-else it is divided by the words of a second sketch, which a pair must share as well, and so on. No pair is lost.
+else it is divided by the parts of another sketch, which a pair must share as well, and so on. No pair is lost.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, without
 from .tokens import scramble, shingles, token_hashes
 
 #: Ratio of the lower ends of neighbouring size bands.
 STEP = 1.5
 #: Groups up to this size are compared pair by pair.
-SMALL = 64
+SMALL = 32
 
 
 def bands(n: int, percent: int) -> list[tuple[int, int, int]]:
@@ -38,60 +39,71 @@ def bands(n: int, percent: int) -> list[tuple[int, int, int]]:
     return found
 
 
-def sketch(distinct: np.ndarray, words: int, level: int = 0) -> np.ndarray:
-    """The parity sketch: ``words`` signed 32-bit integers."""
+def parts(distinct: np.ndarray, count: int, band: int, level: int = 0) -> tuple[np.ndarray, int]:
+    """Keys of the parts of the sketch, and how many parts are empty; the keys of empty parts stand last."""
     x = scramble(distinct, 101 + level)
-    at = ((x >> np.uint64(40)) * np.uint64(words)) >> np.uint64(24)
-    bit = at * np.uint64(32) + (x & np.uint64(31))
-    odd = (np.bincount(bit.astype(np.int64), minlength=words * 32) & 1).astype(np.uint8)
-    return np.packbits(odd).view(">i4").astype(np.int32)
+    order = np.argsort(x)
+    at = ((x[order] >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
+    running = np.concatenate((np.zeros(1, np.uint64), np.bitwise_xor.accumulate(scramble(distinct[order], 11))))
+    cuts = np.searchsorted(at, np.arange(count + 1, dtype=np.uint64))
+    word, empty = running[cuts[1:]] ^ running[cuts[:-1]], cuts[1:] == cuts[:-1]
+    keys = scramble(word + np.arange(count, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), 1000 * level + band)
+    return np.concatenate((keys[~empty], keys[empty])), int(empty.sum())
+
+
+def sketch(distinct: np.ndarray, bits: int) -> np.ndarray:
+    """The parity sketch of ``bits`` bits."""
+    return np.bincount((scramble(distinct, 5) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
 
 
 def _sketched(width: int, percent: int, level: int):
     def run(frames):
         for pdf in frames:
-            cols: dict[str, list] = {c: [] for c in ("doc_id", "n", "h1", "h2", "first", "g", "words", "bare")}
+            cols: dict[str, list] = {c: [] for c in ("doc_id", "n", "h1", "h2", "first", "keys")}
             for i, h in token_hashes(pdf["text"].tolist()):
                 s = np.unique(shingles(h, width))
                 own = (pdf["doc_id"].iat[i], len(s), int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0, int(np.bitwise_xor.reduce(scramble(s, 7)).view(np.int64)) if len(s) else 0)
                 for j, (g, k, z) in enumerate((bands(len(s), percent) if len(s) else []) or [(-1, 0, 0)]):
-                    w = sketch(s, k + 1 + z, level) if k else np.zeros(0, np.int32)
-                    for c, v in zip(cols, (*own, j == 0, g, w, int((w == 0).sum()) > z), strict=True):
+                    keys, empty = parts(s, k + 1 + z, g, level) if k else (np.zeros(0, np.uint64), 0)
+                    if k and empty <= z:
+                        keys = keys[: len(keys) - empty]
+                    for c, v in zip(cols, (*own, j == 0, keys.view(np.int64)), strict=True):
                         cols[c].append(v)
             yield pd.DataFrame(cols)
 
     return run
 
 
-SKETCHES = "doc_id long, n long, h1 long, h2 long, first boolean, g int, words array<int>, bare boolean"
+SKETCHES = "doc_id long, n long, h1 long, h2 long, first boolean, keys array<long>"
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """The sketches first: sets further apart than the similarity allows are mostly told by them alone."""
+    total = len(x) + len(y)
+    if not total:
+        return False
+    bound = (100 - percent) * total
+    bits = 1 << max(6, int(4 * total * (100 - percent) / 100).bit_length())
+    if (100 + percent) * np.count_nonzero(sketch(x, bits) != sketch(y, bits)) > bound:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (total - both)
 
 
 def _exact(width: int, percent: int):
     def run(frames):
         for pdf in frames:
             sets = {side: {i: np.unique(shingles(h, width)) for i, h in token_hashes(pdf[side].tolist())} for side in ("ta", "tb")}
-            both = np.array([len(np.intersect1d(sets["ta"][i], sets["tb"][i], assume_unique=True)) for i in range(len(pdf))], np.int64)
-            union = np.array([len(sets["ta"][i]) + len(sets["tb"][i]) for i in range(len(pdf))], np.int64) - both
-            yield pdf[["a", "b"]][(100 * both >= percent * union) & (union > 0)]
+            yield pdf[["a", "b"]][[_linked(sets["ta"][i], sets["tb"][i], percent) for i in range(len(pdf))]]
 
     return run
 
 
-def _near(percent: int) -> Column:
-    """The whole sketches and the sizes of a pair allow the similarity."""
-    distance = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), F.lit(0), lambda s, x: s + x)
-    sized = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return sized & ((100 + percent) * distance <= (100 - percent) * (F.col("na") + F.col("nb")))
-
-
-def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
-    """The links among candidate ``(g, a, b)``: sketches first, then the shingles of the texts that remain."""
-    side = lambda x: sketches.select("g", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("words").alias(f"w{x}"))
-    close = pairs.join(side("a"), ["g", "a"]).join(side("b"), ["g", "b"]).where(_near(percent))
-    close = cut(close.select("a", "b").distinct(), f"{name}-close")
-    ids = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()
+def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
+    """The links among candidates ``(a, b)``."""
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     texts = cut(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{name}-texts")
-    wide = close.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    wide = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     wide = wide.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     return cut(wide.mapInPandas(_exact(width, percent), "a long, b long"), name)
 
@@ -108,45 +120,43 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str =
     sets = rows.where("first").select("doc_id", "n", "h1", "h2")
     copies = sets.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
     copied = cut(sets.join(copies, ["n", "h1", "h2"]).where("doc_id <> rep").select("doc_id", "rep").groupBy("doc_id").agg(F.min("rep").alias("rep")), "copied")
-    sketches = rows.where("g >= 0").join(copied, "doc_id", "left_anti").select("doc_id", "g", "n", "words", "bare")
+    keys = without(rows.where(F.size("keys") > 0), copied.select("doc_id"), "doc_id").select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"), "n")
 
-    keys = sketches.select("doc_id", "g", "bare", F.posexplode("words").alias("i", "w")).where("w <> 0 or bare")
-    keys = keys.select(F.xxhash64("g", "i", "w").alias("key"), F.col("doc_id").alias("doc"), "g")
-    # One shuffle of all words; only words that several texts hold go on.
+    # one shuffle of all parts; only those that several texts hold go on
     same = Window.partitionBy("key")
     shared = keys.withColumns({"pivot": F.min("doc").over(same), "last": F.max("doc").over(same)}).where("pivot <> last").drop("last")
     shared = cut(shared, "shared")
-    first = cut(shared.where("doc <> pivot").select("g", F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
-    links = _verified(first, sketches, docs, width, percent, "links")
+    tested = cut(shared.where("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
+    links = _verified(tested, docs, width, percent, "links")
     found = cut(components(links, "a", "b"), "components")
 
-    left, level, tested = shared.select("key", "doc", "g"), 0, first
+    left, level = shared.select("key", "doc", "n"), 0
     while True:
         named = left.join(found.withColumnRenamed("id", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component")
         mixed = named.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("m")).where("c1 <> c2").select("key", "m")
         named = cut(named.join(mixed, "key"), "mixed")
         if named.isEmpty():
             break
-        few = named.where(F.col("m") <= SMALL).join(sketches.select("g", F.col("doc_id").alias("doc"), "n", "words"), ["g", "doc"])
-        side = lambda x: few.select("key", "g", F.col("doc").alias(x), F.col("c").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("words").alias(f"w{x}"))  # noqa: E731, B023
-        pairs = side("a").join(side("b"), ["key", "g"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near(percent))
-        pairs = cut(pairs.select("g", "a", "b").distinct().join(tested, ["g", "a", "b"], "left_anti"), "more-pairs")
+        # many parts have the same few members: each such set once
+        few = named.where(F.col("m") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("doc", "n", "c"))).alias("all")).select("all").distinct()
+        pairs = few.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).where("x.doc < y.doc and x.c <> y.c")
+        pairs = pairs.where(100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"), "more-pairs")
         if not pairs.isEmpty():
-            links = cut(links.union(_verified(pairs, sketches, docs, width, percent, "more-links")), "all-links")
+            links = cut(links.union(_verified(pairs, docs, width, percent, "more-links")), "all-links")
             found = cut(components(links, "a", "b"), "components")
         many = named.where(F.col("m") > SMALL)
         if many.isEmpty():
             break
         level += 1
         held = docs.join(many.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        again = held.mapInPandas(_sketched(width, percent, level), SKETCHES).where("g >= 0").select(F.col("doc_id").alias("doc"), "g", F.col("words").alias("w2"), "bare")
-        finer = many.select("key", "doc", "g").join(again, ["doc", "g"]).select("key", "doc", "g", "bare", F.posexplode("w2").alias("i", "w")).where("w <> 0 or bare")
-        left = cut(finer.select(F.xxhash64("key", "i", "w").alias("key"), "doc", "g"), "finer")
+        again = held.mapInPandas(_sketched(width, percent, level), SKETCHES).select(F.col("doc_id").alias("doc"), F.explode("keys").alias("k2"))
+        left = cut(many.select("key", "doc", "n").join(again, "doc").select(F.xxhash64("key", "k2").alias("key"), "doc", "n"), "finer")
 
     named = sets.join(copied, "doc_id", "left").withColumn("id", F.coalesce("rep", "doc_id")).join(found, "id", "left")
     named = named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-    without = docs.where("doc_id is null").mapInPandas(_sketched(width, percent, 0), SKETCHES).where("first")
-    return named.union(without.select(F.lit(None).cast("long"), "n", F.lit(None).cast("long")))
+    nameless = docs.where("doc_id is null").mapInPandas(_sketched(width, percent, 0), SKETCHES).where("first")
+    return named.union(nameless.select(F.lit(None).cast("long"), "n", F.lit(None).cast("long")))
 
 
 def oracle() -> str:
