@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from . import compact_windows, decontam, mixing, ngram_join, pii, quality_pu, quality_rules, toxicity
-from .common import table
+from . import compact_windows, decontam, mixing, ngram_join, pii, quality_pu, quality_rules, toxicity, warc
+from .common import scratch_dir, table
 
 #: The key of the registered query; real runs pass their own.
 PII_KEY = "tidemark-query-key"
@@ -52,5 +54,11 @@ def op4_quality_classifier(spark, sf_dir):
     return out.withColumn("held_out", _remainder(5) == 0)
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_quality_classifier": op4_quality_classifier, "op5_decontamination": op5_decontamination, "op9_compact_windows": op9_compact_windows, "op2_quality_rules": op2_quality_rules, "op6_mixing": op6_mixing, "op8_surrogates": op8_surrogates, "op10_ngram_join": op10_ngram_join}
-ORACLES = {"op2_quality_rules": quality_rules.oracle(), "op6_mixing": mixing.oracle(), "op10_ngram_join": ngram_join.oracle()}
+def op3_warc(spark, sf_dir):
+    path = f"{scratch_dir(spark)}/tidemark-{uuid.uuid4().hex}/warc"
+    warc.write_captures(table(spark, sf_dir, "pages"), path)
+    return warc.captures(warc.read_records(spark, path))
+
+
+QUERIES = {"op3_warc": op3_warc, "op1_toxicity": op1_toxicity, "op4_quality_classifier": op4_quality_classifier, "op5_decontamination": op5_decontamination, "op9_compact_windows": op9_compact_windows, "op2_quality_rules": op2_quality_rules, "op6_mixing": op6_mixing, "op8_surrogates": op8_surrogates, "op10_ngram_join": op10_ngram_join}
+ORACLES = {"op3_warc": warc.oracle(), "op2_quality_rules": quality_rules.oracle(), "op6_mixing": mixing.oracle(), "op10_ngram_join": ngram_join.oracle()}
