@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from . import compact_windows, decontam, mixing, ngram_join, pii, quality_pu, quality_rules, toxicity, warc
+from . import compact_windows, decontam, html_lstm, mixing, ngram_join, pii, quality_pu, quality_rules, toxicity, warc
 from .common import scratch_dir, table
 
 #: The key of the registered query; real runs pass their own.
@@ -60,5 +60,9 @@ def op3_warc(spark, sf_dir):
     return warc.captures(warc.read_records(spark, path))
 
 
-QUERIES = {"op3_warc": op3_warc, "op1_toxicity": op1_toxicity, "op4_quality_classifier": op4_quality_classifier, "op5_decontamination": op5_decontamination, "op9_compact_windows": op9_compact_windows, "op2_quality_rules": op2_quality_rules, "op6_mixing": op6_mixing, "op8_surrogates": op8_surrogates, "op10_ngram_join": op10_ngram_join}
+def op7_html_extraction(spark, sf_dir):
+    return html_lstm.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op7_html_extraction": op7_html_extraction, "op3_warc": op3_warc, "op1_toxicity": op1_toxicity, "op4_quality_classifier": op4_quality_classifier, "op5_decontamination": op5_decontamination, "op9_compact_windows": op9_compact_windows, "op2_quality_rules": op2_quality_rules, "op6_mixing": op6_mixing, "op8_surrogates": op8_surrogates, "op10_ngram_join": op10_ngram_join}
 ORACLES = {"op3_warc": warc.oracle(), "op2_quality_rules": quality_rules.oracle(), "op6_mixing": mixing.oracle(), "op10_ngram_join": ngram_join.oracle()}
