@@ -42,6 +42,11 @@ def without(df: DataFrame, ids: DataFrame, key: str, most: int = 500_000) -> Dat
     return df.join(F.broadcast(ids) if n <= most else ids, key, "left_anti")
 
 
+def only(df: DataFrame, ids: DataFrame, key: str, most: int = 500_000) -> DataFrame:
+    """The rows of ``df`` whose key is in ``ids``; up to ``most`` ids are counted and broadcast, more are joined by shuffle."""
+    return df.join(F.broadcast(ids) if ids.count() <= most else ids, key, "left_semi")
+
+
 def bounded_sample(ids: DataFrame, key: str, most: int) -> DataFrame:
     """At most ``most`` rows, those with the smallest hashes of the key: the same ones on every run."""
     return ids.orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(most)

@@ -6,23 +6,26 @@ Cartesian tree over the hashes. Only nodes at least as wide as the shortest pass
 equal minima over a sliding window of that width, so all of them are read off with a few vectorised
 minima; ``cartesian_windows`` builds the tree itself, and the tests hold the two against each other.
 
-The windows of two hash functions are intersected within each text: a run of places where both minima stay equal is a
-group of passages that share two signatures. Texts are joined on them in several independent groups of functions. In each
-bucket of equal signatures the members are compared with the smallest text. Members that share no verified passage with it there
+A passage contains the centre of a compact window and reaches at least half its shortest length to one side of it. So each centre
+gives two keys: its hash with the least hashes of further functions over the half passage from it to the right, and over the one
+to the left. Passages that are equal share a key under every first function, similar ones under some. In each bucket of
+equal keys the members are compared with the smallest text. Members that share no verified passage with it there
 are compared pair by pair if few are left; else (a frequent phrase shorter than a passage) their texts are signed
-again with twice as many functions, which tells such phrases from passages. At the last level the members of a bucket are compared with one
+again with more functions, which tells such phrases from passages. At the last level the members of a bucket are compared with one
 of them after another until none is left. A passage is verified by its shingles: Jaccard similarity at
 least ``percent``. Identical texts are put behind one representative first.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, without
+from .common import cut, only, without
 from .tokens import scramble, shingles, token_hashes
 
 WIDTH = 5
@@ -52,20 +55,27 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def signatures(s: np.ndarray, least: int, groups: int, functions: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the distinct signatures of the text in each group of functions, and the first place of each."""
+    """Keys of the text under ``groups`` first functions with ``functions`` further ones, and the first place of each.
+
+    The places are the starts of the half passages that the keys stand for.
+    """
+    half = least // 2
     keys, places = [], []
     for p in range(groups):
-        change = np.zeros(len(s) - least + 1, bool)
-        change[0] = True
-        key = np.full(len(change), functions, np.uint64)
+        h = scramble(s, 100 * p)
+        low = sliding_min(h, least)
+        turn = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
+        centre = np.unique(turn + np.lib.stride_tricks.sliding_window_view(h, least)[turn].argmin(1))
+        key = [h[centre], h[centre] + np.uint64(1)]
+        sides = [np.minimum(centre, len(s) - half), np.maximum(centre - half + 1, 0)]
+        inside = [centre + half <= len(s), centre - half + 1 >= 0]
         for i in range(functions):
-            low = sliding_min(scramble(s, 1000 * functions + 100 * p + i), least)
-            change[1:] |= low[1:] != low[:-1]
-            key = key * np.uint64(0x100000001B3) + low
-        turn = np.flatnonzero(change)
-        k, first = np.unique(scramble(key[turn], 57 + p), return_index=True)
+            m = sliding_min(scramble(s, 100 * p + 1 + i + 1000 * functions), half)
+            key = [k * np.uint64(0x100000001B3) + m[at] for k, at in zip(key, sides, strict=True)]
+        both = np.concatenate([k[ok] for k, ok in zip(key, inside, strict=True)])
+        k, first = np.unique(scramble(both, 57 + p), return_index=True)
         keys.append(k)
-        places.append(turn[first])
+        places.append(np.concatenate([at[ok] for at, ok in zip(sides, inside, strict=True)])[first])
     return np.concatenate(keys), np.concatenate(places)
 
 
@@ -156,24 +166,24 @@ def repeated_passages(
 
     same = Window.partitionBy("key")
     pick = lambda r: r.withColumns({"pivot": F.min("doc").over(same), "last": F.max("doc").over(same)}).where("pivot <> last").drop("last")
-    found = tested = None
+    found: list[DataFrame] = []
+    tested: list[DataFrame] = []
+    whole = lambda tables: functools.reduce(DataFrame.union, tables)
 
     def verify(pairs: DataFrame) -> None:
-        nonlocal found, tested
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else cut(tested.union(pairs), "tested")
-        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        texts = cut(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+        pairs = cut(pairs.join(whole(tested), ["a", "b"], "left_anti") if tested else pairs, "pairs")
+        wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
+        texts = cut(only(docs, wanted, "doc_id"), "texts")
         wide = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
         wide = wide.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-        new = cut(wide.mapInPandas(_verify(least, percent), PASSAGES), "passages")
-        found = new if found is None else cut(found.union(new), "found")
+        tested.append(pairs)
+        found.append(cut(wide.mapInPandas(_verify(least, percent), PASSAGES), "passages"))
 
     def turn(left: DataFrame) -> DataFrame:
         """Compares with the pivots; the rows whose signature lies in no verified passage shared with theirs."""
         verify(left.where("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct())
-        hold = found.select(F.col("doc_id").alias("doc"), F.col("source_doc_id").alias("pivot"), "begin_word", (F.col("begin_word") + F.col("n_words")).alias("end"))
-        settled = left.join(hold, ["doc", "pivot"]).where((F.col("place") < F.col("end")) & (F.col("place") + least > F.col("begin_word"))).select("key", "doc").distinct()
+        hold = whole(found).select(F.col("doc_id").alias("doc"), F.col("source_doc_id").alias("pivot"), "begin_word", (F.col("begin_word") + F.col("n_words")).alias("end"))
+        settled = left.join(hold, ["doc", "pivot"]).where((F.col("place") < F.col("end")) & (F.col("place") + least // 2 > F.col("begin_word"))).select("key", "doc").distinct()
         rest = left.where("doc <> pivot").join(settled, ["key", "doc"], "left_anti").select("key", "doc", "place")
         return cut(pick(rest), "rest")
 
@@ -193,7 +203,7 @@ def repeated_passages(
         if many.isEmpty():
             break
         functions *= 2
-        pool = docs.join(many, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        pool = only(docs, many, "doc_id")
 
-    whole = copies.where(F.col("n") >= min_words).select("doc_id", F.lit(0).cast("long").alias("begin_word"), F.col("n").alias("n_words"), F.col("rep").alias("source_doc_id"), F.lit(0).cast("long").alias("source_begin_word"), F.col("n").alias("source_n_words"), F.lit(1.0).alias("similarity"))
-    return found.union(whole)
+    copied = copies.where(F.col("n") >= min_words).select("doc_id", F.lit(0).cast("long").alias("begin_word"), F.col("n").alias("n_words"), F.col("rep").alias("source_doc_id"), F.lit(0).cast("long").alias("source_begin_word"), F.col("n").alias("source_n_words"), F.lit(1.0).alias("similarity"))
+    return whole([*found, copied]).distinct()

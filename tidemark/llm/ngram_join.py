@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, without
+from .common import components, cut, only, without
 from .tokens import scramble, shingles, token_hashes
 
 #: Ratio of the lower ends of neighbouring size bands.
@@ -102,7 +102,7 @@ def _exact(width: int, percent: int):
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
     """The links among candidates ``(a, b)``."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = cut(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{name}-texts")
+    texts = cut(only(docs, cut(ids, f"{name}-ids"), "doc_id"), f"{name}-texts")
     wide = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     wide = wide.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     return cut(wide.mapInPandas(_exact(width, percent), "a long, b long"), name)
@@ -149,7 +149,7 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str =
         if many.isEmpty():
             break
         level += 1
-        held = docs.join(many.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        held = only(docs, many.select(F.col("doc").alias("doc_id")).distinct(), "doc_id")
         again = held.mapInPandas(_sketched(width, percent, level), SKETCHES).select(F.col("doc_id").alias("doc"), F.explode("keys").alias("k2"))
         left = cut(many.select("key", "doc", "n").join(again, "doc").select(F.xxhash64("key", "k2").alias("key"), "doc", "n"), "finer")
 
