@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut
+
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = "\r\n\r\n"
 ANCHORS = ("response", "revisit", "resource")
@@ -130,7 +132,8 @@ def assemble(records: DataFrame) -> DataFrame:
     Another record belongs to the capture that it names in WARC-Concurrent-To, that names it there, or that a record
     it names belongs to. Records that reach no capture are left out; repeated records count once.
     """
-    records = records.withColumn("anchor", F.col("type").isin(*ANCHORS))
+    # read several times below, so parsed once
+    records = cut(records, "records").withColumn("anchor", F.col("type").isin(*ANCHORS))
     named = records.select("record_id", "anchor", F.explode("concurrent_to").alias("other"))
     anchors = records.where("anchor").select(F.col("record_id").alias("capture_id")).distinct()
     forward = named.where("not anchor").select("record_id", F.col("other"))
