@@ -9,8 +9,9 @@ So texts are joined on equal parts (on empty ones only among the few texts with
 the Hamming distance of a short sketch, and last by their shingles.
 
 Equal sets are first put behind one representative. In each group of equal parts the members are compared with the smallest id.
-Only groups that hold several components after that are looked into again: all their pairs of different components if the group is small,
-else it is divided by the parts of another sketch, which a pair must share as well, and so on. No pair is lost.
+Only groups that hold several components after that are looked into again. Small ones give their pairs of different components, each set of members once.
+The members of large ones form families (what their groups connect); a family is cut into blocks, and each pair of
+blocks is one task's worth of sketches, compared as bit matrices, so that only pairs whose sketches allow a link come out. No pair is lost.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .tokens import scramble, shingles, token_hashes
 STEP = 1.5
 #: Groups up to this size are compared pair by pair.
 SMALL = 32
+#: Members of a block of a family, and bits of the sketches by which blocks are compared.
+BLOCK, BITS = 256, 2048
 
 
 def bands(n: int, percent: int) -> list[tuple[int, int, int]]:
@@ -99,6 +102,39 @@ def _exact(width: int, percent: int):
     return run
 
 
+def _short(width: int):
+    """Sketches of BITS bits, packed, for the comparison of blocks."""
+
+    def run(frames):
+        for pdf in frames:
+            rows = []
+            for i, h in token_hashes(pdf["text"].tolist()):
+                s = np.unique(shingles(h, width))
+                rows.append((pdf["doc_id"].iat[i], len(s), np.packbits(sketch(s, BITS).astype(np.uint8)).tobytes()))
+            yield pd.DataFrame(rows, columns=["id", "n", "bits"])
+
+    return run
+
+
+def _block_pairs(percent: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["i"].iat[0]), int(pdf["j"].iat[0])
+        one, two = pdf[pdf["b"] == i], pdf[pdf["b"] == j]
+        bits = [np.frombuffer(b"".join(x["bits"]), np.uint64).reshape(len(x), BITS // 64) for x in (one, two)]
+        id1, id2, c1, c2, n1, n2 = one["id"].to_numpy(), two["id"].to_numpy(), one["c"].to_numpy(), two["c"].to_numpy(), one["n"].to_numpy(), two["n"].to_numpy()
+        out = []
+        for k in range(len(one)):
+            apart = np.bitwise_count(bits[1] ^ bits[0][k]).sum(1, dtype=np.int64)
+            total = n1[k] + n2
+            ok = (c2 != c1[k]) & (100 * np.minimum(n1[k], n2) >= percent * np.maximum(n1[k], n2)) & ((100 + percent) * apart <= (100 - percent) * total)
+            ok &= (id2 > id1[k]) if i == j else True
+            for other in id2[ok]:
+                out.append((min(id1[k], other), max(id1[k], other)))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return run
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
     """The links among candidates ``(a, b)``."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
@@ -130,28 +166,28 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str =
     links = _verified(tested, docs, width, percent, "links")
     found = cut(components(links, "a", "b"), "components")
 
-    left, level = shared.select("key", "doc", "n"), 0
-    while True:
-        named = left.join(found.withColumnRenamed("id", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component")
-        mixed = named.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("m")).where("c1 <> c2").select("key", "m")
-        named = cut(named.join(mixed, "key"), "mixed")
-        if named.isEmpty():
-            break
-        # many parts have the same few members: each such set once
-        few = named.where(F.col("m") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("doc", "n", "c"))).alias("all")).select("all").distinct()
-        pairs = few.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).where("x.doc < y.doc and x.c <> y.c")
-        pairs = pairs.where(100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
-        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"), "more-pairs")
-        if not pairs.isEmpty():
-            links = cut(links.union(_verified(pairs, docs, width, percent, "more-links")), "all-links")
-            found = cut(components(links, "a", "b"), "components")
-        many = named.where(F.col("m") > SMALL)
-        if many.isEmpty():
-            break
-        level += 1
-        held = only(docs, many.select(F.col("doc").alias("doc_id")).distinct(), "doc_id")
-        again = held.mapInPandas(_sketched(width, percent, level), SKETCHES).select(F.col("doc_id").alias("doc"), F.explode("keys").alias("k2"))
-        left = cut(many.select("key", "doc", "n").join(again, "doc").select(F.xxhash64("key", "k2").alias("key"), "doc", "n"), "finer")
+    named = shared.select("key", "doc", "n").join(found.withColumnRenamed("id", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component")
+    mixed = named.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("m")).where("c1 <> c2").select("key", "m")
+    named = cut(named.join(mixed, "key"), "mixed")
+    # many parts have the same few members: each such set once
+    few = named.where(F.col("m") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("doc", "n", "c"))).alias("all")).select("all").distinct()
+    pairs = few.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).where("x.doc < y.doc and x.c <> y.c")
+    pairs = pairs.where(100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
+    many = named.where(F.col("m") > SMALL)
+    if not many.isEmpty():
+        stars = many.groupBy("key").agg(F.min("doc").alias("b"))
+        family = cut(components(many.join(stars, "key").select(F.col("doc").alias("a"), "b"), "a", "b"), "families")
+        sized = family.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        member = family.join(sized, "component").join(many.select(F.col("doc").alias("id"), "c").distinct(), "id")
+        held = only(docs, member.select(F.col("id").alias("doc_id")), "doc_id").mapInPandas(_short(width), "id long, n long, bits binary")
+        member = member.join(held.dropDuplicates(["id"]), "id").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        dealt = member.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select(F.col("component").alias("family"), F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "id", "c", "n", "bits")
+        pairs = pairs.union(dealt.groupBy("family", "i", "j").applyInPandas(_block_pairs(percent), "a long, b long"))
+    pairs = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "more-pairs")
+    if not pairs.isEmpty():
+        links = cut(links.union(_verified(pairs, docs, width, percent, "more-links")), "all-links")
+        found = cut(components(links, "a", "b"), "components")
 
     named = sets.join(copied, "doc_id", "left").withColumn("id", F.coalesce("rep", "doc_id")).join(found, "id", "left")
     named = named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
