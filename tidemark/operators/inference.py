@@ -45,15 +45,15 @@ def cluster_bootstrap(df: DataFrame, cluster: str, x: str, draws: int = 200, see
     Clusters are summed first, so draws x clusters rows are made, not draws x rows. A cluster's weight in a draw is Poisson(1), drawn from a
     hash of (seed, draw, cluster): the same on every run and on every machine.
     """
-    g = df.groupBy(cluster).agg(F.sum(x).alias("s"), F.count(x).alias("c"))
-    d = g.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "draw", F.col(cluster).cast("string")), F.lit(1_000_000)) / 1e6
+    g = df.groupBy(cluster).agg(F.sum(x).alias("__s"), F.count(x).alias("__c"))
+    d = g.withColumn("__draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    u = F.pmod(F.xxhash64(F.lit(seed), "__draw", F.col(cluster).cast("string")), F.lit(1_000_000)) / 1e6
     weight, total, p = F.lit(0), 0.0, 0.36787944117144233
     for k in range(8):
         total += p
         weight = F.when(u >= total, k + 1).otherwise(weight)
         p /= k + 1
-    means = d.withColumn("w", weight).groupBy("draw").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("c"))).alias("m"))
+    means = d.withColumn("__w", weight).groupBy("__draw").agg(F.try_divide(F.sum(F.col("__w") * F.col("__s")), F.sum(F.col("__w") * F.col("__c"))).alias("m"))
     ci = means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
     return df.agg(F.count(x).alias("n"), F.avg(x).alias("mean")).crossJoin(ci)
 
