@@ -11,7 +11,7 @@ gives two keys: its hash with the least hashes of further functions over the hal
 to the left. Passages that are equal share a key under every first function, similar ones under some. In each bucket of
 equal keys the members are compared with the smallest text. Members that share no verified passage with it there
 are compared pair by pair if few are left; else (a frequent phrase shorter than a passage) their texts are signed
-again with more functions, which tells such phrases from passages. At the last level the members of a bucket are compared with one
+again over whole passages and with more functions, which tells such phrases from passages. At the last level the members of a bucket are compared with one
 of them after another until none is left. A passage is verified by its shingles: Jaccard similarity at
 least ``percent``. Identical texts are put behind one representative first.
 """
@@ -55,10 +55,14 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def signatures(s: np.ndarray, least: int, groups: int, functions: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the text under ``groups`` first functions with ``functions`` further ones, and the first place of each.
+    """Keys of the text in each of ``groups`` groups of functions, and the first place of each.
 
-    The places are the starts of the half passages that the keys stand for.
+    With two functions they are those of half passages at the centres of the compact windows, and the places their starts. With more,
+    the compact windows of all functions of a group are intersected: a run of passage starts over which every minimum stays the
+    same is one key, placed at the first of them. A phrase shorter than a passage seldom holds all the minima.
     """
+    if functions > 2:
+        return _runs(s, least, groups, functions)
     half = least // 2
     keys, places = [], []
     for p in range(groups):
@@ -79,6 +83,23 @@ def signatures(s: np.ndarray, least: int, groups: int, functions: int = 2) -> tu
     return np.concatenate(keys), np.concatenate(places)
 
 
+def _runs(s: np.ndarray, least: int, groups: int, functions: int) -> tuple[np.ndarray, np.ndarray]:
+    keys, places = [], []
+    for p in range(groups):
+        change = np.zeros(len(s) - least + 1, bool)
+        change[0] = True
+        key = np.full(len(change), functions, np.uint64)
+        for i in range(functions):
+            low = sliding_min(scramble(s, 10_000 + 100 * p + i), least)
+            change[1:] |= low[1:] != low[:-1]
+            key = key * np.uint64(0x100000001B3) + low
+        turn = np.flatnonzero(change)
+        k, first = np.unique(scramble(key[turn], 57 + p), return_index=True)
+        keys.append(k)
+        places.append(turn[first])
+    return np.concatenate(keys), np.concatenate(places)
+
+
 def _signed(least: int, groups: int, functions: int):
     def run(frames):
         for pdf in frames:
