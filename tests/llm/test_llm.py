@@ -45,7 +45,7 @@ def test_components_chain_and_cycle(spark):
 
 
 def test_op2_counts_against_brute_force(spark, odd, none):
-    docs = spark.read.parquet(f"{D}/documents.parquet").limit(60).select("doc_id", "text").union(odd.select("doc_id", "text"))
+    docs = spark.read.parquet(f"{D}/documents.parquet").limit(60).select("doc_id", "text").union(odd.select(F.col("doc_id") + 1_000_000, "text").dropDuplicates())
     for r in docs.join(quality_rules.counts(docs), "doc_id").collect():
         w = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
         tri = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
