@@ -85,8 +85,9 @@ def construct_sector_cap(spark, d):
     return best(t.members(spark, d), ["sector"], F.desc("balance"), "member", n=4).orderBy(F.desc("balance"), "member").limit(15).select("member", "sector")
 
 
-@query("turnover_cost", """prices: WITH w AS (SELECT ticker, date_trunc('month', date) AS m, sum(close * volume) AS v FROM prices GROUP BY 1, 2), x AS (SELECT ticker, m, v / sum(v) OVER (PARTITION BY m) AS w FROM w)
-  SELECT CAST(m AS DATE) AS m, round(sum(abs(d)), 6) AS turnover, round(sum(abs(d)) * 0.001, 8) AS cost FROM (SELECT m, w - lag(w, 1, 0.0) OVER (PARTITION BY ticker ORDER BY m) AS d FROM x) GROUP BY 1""")
+@query("turnover_cost", """prices: WITH w AS (SELECT ticker, date_trunc('month', date) AS m, sum(close * volume) AS v FROM prices GROUP BY 1, 2), x AS (SELECT ticker, m, v / sum(v) OVER (PARTITION BY m) AS w FROM w),
+  mm AS (SELECT m, lead(m) OVER (ORDER BY m) AS nxt FROM (SELECT DISTINCT m FROM x)), c AS (SELECT ticker, nxt AS m, w AS before FROM x JOIN mm USING (m) WHERE nxt IS NOT NULL),
+  j AS (SELECT m, sum(abs(coalesce(w, 0) - coalesce(before, 0))) AS t FROM x FULL JOIN c USING (ticker, m) GROUP BY 1) SELECT CAST(m AS DATE) AS m, round(t, 6) AS turnover, round(t * 0.001, 8) AS cost FROM j""")
 def turnover_cost(spark, d):
     w = t.prices(spark, d).groupBy("ticker", F.trunc("date", "MM").alias("m")).agg(F.sum(F.col("close") * F.col("volume")).alias("v"))
     w = w.withColumn("w", F.col("v") / F.sum("v").over(W.partitionBy("m"))).select("ticker", "m", "w")
