@@ -116,6 +116,19 @@ def _short(width: int):
     return run
 
 
+def _near(percent: int):
+    """The pairs whose sizes and sketches allow a link."""
+
+    def run(frames):
+        for pdf in frames:
+            one, two = (np.frombuffer(b"".join(pdf[c]), np.uint64).reshape(len(pdf), BITS // 64) for c in ("sa", "sb"))
+            apart, total = np.bitwise_count(one ^ two).sum(1, dtype=np.int64), (pdf["na"] + pdf["nb"]).to_numpy()
+            sized = 100 * np.minimum(pdf["na"], pdf["nb"]) >= percent * np.maximum(pdf["na"], pdf["nb"])
+            yield pdf[["a", "b"]][sized.to_numpy() & ((100 + percent) * apart <= (100 - percent) * total)]
+
+    return run
+
+
 def _block_pairs(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iat[0]), int(pdf["j"].iat[0])
@@ -137,7 +150,11 @@ def _block_pairs(percent: int):
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
     """The links among candidates ``(a, b)``."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    ends = lambda p: p.select(F.col("a").alias("doc_id")).union(p.select("b")).distinct()
+    bits = cut(only(docs, cut(ends(pairs), f"{name}-ends"), "doc_id").mapInPandas(_short(width), "id long, n long, bits binary"), f"{name}-bits")
+    side = lambda x: bits.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"s{x}"))
+    pairs = cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_near(percent), "a long, b long").distinct(), f"{name}-near")
+    ids = ends(pairs)
     texts = cut(only(docs, cut(ids, f"{name}-ids"), "doc_id"), f"{name}-texts")
     wide = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     wide = wide.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
@@ -156,7 +173,7 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str =
     sets = rows.where("first").select("doc_id", "n", "h1", "h2")
     copies = sets.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
     copied = cut(sets.join(copies, ["n", "h1", "h2"]).where("doc_id <> rep").select("doc_id", "rep").groupBy("doc_id").agg(F.min("rep").alias("rep")), "copied")
-    keys = without(rows.where(F.size("keys") > 0), copied.select("doc_id"), "doc_id").select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"), "n")
+    keys = without(rows.where(F.size("keys") > 0), copied.select("doc_id"), "doc_id").select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"))
 
     # one shuffle of all parts; only those that several texts hold go on
     same = Window.partitionBy("key")
@@ -166,9 +183,10 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str =
     links = _verified(tested, docs, width, percent, "links")
     found = cut(components(links, "a", "b"), "components")
 
-    named = shared.select("key", "doc", "n").join(found.withColumnRenamed("id", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component")
+    sizes = rows.where("first and n > 0").select(F.col("doc_id").alias("doc"), "n").dropDuplicates(["doc"])
+    named = shared.select("key", "doc").join(found.withColumnRenamed("id", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component")
     mixed = named.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("m")).where("c1 <> c2").select("key", "m")
-    named = cut(named.join(mixed, "key"), "mixed")
+    named = cut(named.join(mixed, "key").join(sizes, "doc"), "mixed")
     # many parts have the same few members: each such set once
     few = named.where(F.col("m") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("doc", "n", "c"))).alias("all")).select("all").distinct()
     pairs = few.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).where("x.doc < y.doc and x.c <> y.c")
