@@ -12,7 +12,7 @@ to the left. Passages that are equal share a key under every first function, sim
 equal keys the members are compared with the smallest text. Members that share no verified passage with it there
 are compared pair by pair if few are left; else (a frequent phrase shorter than a passage) their texts are signed
 again over whole passages and with more functions, which tells such phrases from passages. At the last level the members of a bucket are compared with one
-of them after another until none is left. A passage is verified by its shingles: Jaccard similarity at
+of them after another until few are left. A passage is verified by its shingles: Jaccard similarity at
 least ``percent``. Identical texts are put behind one representative first.
 """
 
@@ -31,6 +31,10 @@ from .tokens import scramble, shingles, token_hashes
 WIDTH = 5
 #: Buckets up to this size are compared pair by pair; larger ones are signed again, with LAST functions at most.
 SMALL, LAST = 32, 16
+#: Characters of the texts that are compared at a time.
+SLICE = 1 << 21
+#: Keys that a task holds before it hands them on.
+KEYS = 1 << 17
 PASSAGES = "doc_id long, begin_word long, n_words long, source_doc_id long, source_begin_word long, source_n_words long, similarity double"
 
 
@@ -101,29 +105,38 @@ def _runs(s: np.ndarray, least: int, groups: int, functions: int) -> tuple[np.nd
 
 
 def _signed(least: int, groups: int, functions: int):
+    def rows(ids: list, keys: list, places: list) -> pd.DataFrame:
+        doc = np.repeat(np.array(ids, np.int64), [len(k) for k in keys])
+        return pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "doc": doc, "place": np.concatenate(places).astype(np.int32)})
+
     def run(frames):
         for pdf in frames:
-            ids, keys, places = [], [], []
+            ids, keys, places, held = [], [], [], 0
             for i, h in token_hashes(pdf["text"].tolist()):
                 s = shingles(h, WIDTH)
-                if len(s) >= least:
-                    k, at = signatures(s, least, groups, functions)
-                    ids.append(np.full(len(k), pdf["doc_id"].iat[i], np.int64))
-                    keys.append(k)
-                    places.append(at)
+                if len(s) < least:
+                    continue
+                k, at = signatures(s, least, groups, functions)
+                ids.append(pdf["doc_id"].iat[i])
+                keys.append(k)
+                places.append(at)
+                held += len(k)
+                if held > KEYS:
+                    yield rows(ids, keys, places)
+                    ids, keys, places, held = [], [], [], 0
             if ids:
-                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "doc": np.concatenate(ids), "place": np.concatenate(places).astype(np.int32)})
+                yield rows(ids, keys, places)
 
     return run
 
 
-def passages(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int, float]]:
+def passages(a: np.ndarray, b: np.ndarray, least: int, percent: int, order: np.ndarray | None = None) -> list[tuple[int, int, int, int, float]]:
     """Verified passages ``(begin, end, source begin, source end, similarity)`` of shingle sequence a in b.
 
     Windows of a in which enough shingles occur in b are merged; each stretch is matched to the places in b near
-    its main diagonal and kept if the two sets of shingles are similar enough.
+    its main diagonal and kept if the two sets of shingles are similar enough. ``order`` is the stable order of b, where it is known.
     """
-    order = np.argsort(b, kind="stable")
+    order = np.argsort(b, kind="stable") if order is None else order
     ranked = b[order]
     at = np.minimum(np.searchsorted(ranked, a), len(b) - 1)
     hit = ranked[at] == a
@@ -160,16 +173,26 @@ def passages(a: np.ndarray, b: np.ndarray, least: int, percent: int) -> list[tup
 def _verify(least: int, percent: int):
     def run(frames):
         for pdf in frames:
-            side = {c: {i: shingles(h, WIDTH) for i, h in token_hashes(pdf[c].tolist())} for c in ("ta", "tb")}
-            rows = []
-            for i in range(len(pdf)):
-                for lo, end, at, stop, similarity in passages(side["ta"][i], side["tb"][i], least, percent):
-                    rows.append((pdf["a"].iat[i], lo, end - lo + WIDTH - 1, pdf["b"].iat[i], at, stop - at + WIDTH - 1, similarity))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PASSAGES.split(", ")])
+            # slices of bounded length; in each a text is hashed once and a source sorted once
+            length = (pdf["ta"].str.len() + pdf["tb"].str.len()).cumsum()
+            for _, part in pdf.groupby((length // SLICE).to_numpy(), sort=False):
+                yield pd.DataFrame(_compared(part, least, percent), columns=[c.split()[0] for c in PASSAGES.split(", ")])
 
     return run
 
 
+def _compared(pdf: pd.DataFrame, least: int, percent: int) -> list[tuple]:
+    code, once = pd.factorize(np.concatenate((pdf["ta"].to_numpy(object), pdf["tb"].to_numpy(object))))
+    sets = {i: shingles(h, WIDTH) for i, h in token_hashes(list(once))}
+    code = code.reshape(2, len(pdf)).tolist()
+    orders = {y: np.argsort(sets[y], kind="stable") for y in set(code[1])}
+    rows = []
+    for a, b, x, y in zip(pdf["a"].tolist(), pdf["b"].tolist(), *code, strict=True):
+        for lo, end, at, stop, similarity in passages(sets[x], sets[y], least, percent, orders[y]):
+            rows.append((a, lo, end - lo + WIDTH - 1, b, at, stop - at + WIDTH - 1, similarity))
+    return rows
+
+
 def repeated_passages(
     docs: DataFrame, min_words: int = 50, percent: int = 80, groups: int = 3, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
@@ -186,13 +209,15 @@ def repeated_passages(
     copies = cut(ids.join(first, "h").where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("n").alias("n")), "copies")
 
     same = Window.partitionBy("key")
-    pick = lambda r: r.withColumns({"pivot": F.min("doc").over(same), "last": F.max("doc").over(same)}).where("pivot <> last").drop("last")
+    pick = lambda r: r.withColumns({"pivot": F.min("doc").over(same), "last": F.max("doc").over(same), "m": F.count("*").over(same)}).where("pivot <> last").drop("last")
     found: list[DataFrame] = []
     tested: list[DataFrame] = []
     whole = lambda tables: functools.reduce(DataFrame.union, tables)
 
     def verify(pairs: DataFrame) -> None:
         pairs = cut(pairs.join(whole(tested), ["a", "b"], "left_anti") if tested else pairs, "pairs")
+        if found and pairs.isEmpty():
+            return
         wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
         texts = cut(only(docs, wanted, "doc_id"), "texts")
         wide = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
@@ -211,16 +236,20 @@ def repeated_passages(
     functions, pool = 2, without(docs, copies.select("doc_id"), "doc_id")
     while True:
         rows = pool.mapInPandas(_signed(least, groups, functions), "key long, doc long, place int")
-        left = turn(cut(pick(rows), "shared"))
-        while functions == LAST and not left.isEmpty():
-            left = turn(left)
-        if left.isEmpty():
+        large = cut(pick(rows), "shared")
+        while True:
+            left = turn(large)
+            if left.isEmpty():
+                break
+            few = left.where(F.col("m") <= SMALL).select("key", "doc")
+            pairs = few.select("key", F.col("doc").alias("a")).join(few.select("key", F.col("doc").alias("b")), "key").where("a > b")
+            verify(pairs.select("a", "b").distinct())
+            large = left.where(F.col("m") > SMALL)
+            if functions < LAST or large.isEmpty():
+                break
+        if left.isEmpty() or functions == LAST:
             break
-        sized = cut(left.join(left.groupBy("key").agg(F.count("*").alias("m")), "key"), "sized")
-        few = sized.where(F.col("m") <= SMALL).select("key", "doc")
-        pairs = few.select("key", F.col("doc").alias("a")).join(few.select("key", F.col("doc").alias("b")), "key").where("a > b")
-        verify(pairs.select("a", "b").distinct())
-        many = cut(sized.where(F.col("m") > SMALL).select(F.col("doc").alias("doc_id")).distinct(), "many")
+        many = cut(large.select(F.col("doc").alias("doc_id")).distinct(), "many")
         if many.isEmpty():
             break
         functions *= 2
