@@ -207,6 +207,17 @@ def test_op9_windows_are_tree_nodes():
     assert centres == {c for _, c, _ in compact_windows.cartesian_windows(h, 20)}
 
 
+def test_op9_equal_passage_among_scattered_changes():
+    rng = np.random.default_rng(9)
+    a = rng.integers(1, 1 << 62, 400).astype(np.uint64)
+    b = a.copy()
+    b[[*range(0, 160, 12), *range(230, 400, 12)]] += np.uint64(1)
+    sa, sb = compact_windows.shingles(a, 5), compact_windows.shingles(b, 5)
+    found = compact_windows.passages(sa, sb, 46, 80)
+    assert any(lo <= 170 and end >= 216 for lo, end, *_ in found)
+    assert all(end - lo >= 46 for lo, end, *_ in found)
+
+
 def test_op9_finds_planted_passages(spark, odd, none):
     r = random.Random(8)
     passage = words(r, 70, 10**6)

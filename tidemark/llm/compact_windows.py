@@ -146,17 +146,17 @@ def passages(a: np.ndarray, b: np.ndarray, least: int, percent: int, order: np.n
     out = []
     if not len(good):
         return out
-    breaks = np.flatnonzero(np.diff(good) > 1)
-    for lo, hi in zip(np.concatenate(([good[0]], good[breaks + 1])), np.concatenate((good[breaks], [good[-1]])), strict=True):
-        end = hi + least
+
+    def match(lo: int, end: int) -> bool:
         on = np.flatnonzero(hit[lo:end]) + lo
-        lo, end = int(on[0]), int(on[-1]) + 1
+        if on[-1] + 1 - on[0] >= least:
+            lo, end = int(on[0]), int(on[-1]) + 1
         # occurrences in b: the first of each shingle, then those near the median offset
         where = order[at[on]]
         offset = where - on
         close = np.abs(offset - np.median(offset)) <= max(least, (end - lo) // 4)
         if not close.any():
-            continue
+            return False
         i, j = int(where[close].min()), int(where[close].max()) + 1
         x = np.unique(a[lo:end])
         # repeated shingles were placed at their first occurrence only
@@ -165,11 +165,35 @@ def passages(a: np.ndarray, b: np.ndarray, least: int, percent: int, order: np.n
         j += int(np.argmin(more)) if len(more) and not more.all() else len(more)
         y = np.unique(b[i:j])
         both = len(np.intersect1d(x, y, assume_unique=True))
-        if 100 * both >= percent * (len(x) + len(y) - both):
-            out.append((lo, end, i, j, both / (len(x) + len(y) - both)))
+        if 100 * both < percent * (len(x) + len(y) - both):
+            return False
+        out.append((lo, end, i, j, both / (len(x) + len(y) - both)))
+        return True
+
+    for lo, hi in _spans(good):
+        if match(lo, hi + least) or hi == lo:
+            continue
+        # scattered changes made the stretch too different as a whole: its equal parts, then its best windows
+        count = total[lo + least : hi + least + 1] - total[lo : hi + 1]
+        free = np.ones(len(count), bool)
+        for first, last in _spans(np.flatnonzero(count == least)):
+            if match(lo + first, lo + last + least):
+                free[max(0, first - least + 1) : last + least] = False
+        while free.any():
+            k = int(np.argmax(np.where(free, count, -1)))
+            match(lo + k, lo + k + least)
+            free[max(0, k - least + 1) : k + least] = False
     return out
 
 
+def _spans(places: np.ndarray) -> list[tuple[int, int]]:
+    """First and last of each run of neighbouring places."""
+    if not len(places):
+        return []
+    breaks = np.flatnonzero(np.diff(places) > 1)
+    return list(zip(places[np.concatenate(([0], breaks + 1))].tolist(), places[np.concatenate((breaks, [len(places) - 1]))].tolist(), strict=True))
+
+
 def _verify(least: int, percent: int):
     def run(frames):
         for pdf in frames:
