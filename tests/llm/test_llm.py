@@ -232,6 +232,33 @@ def test_op9_finds_planted_passages(spark, odd, none):
     assert compact_windows.repeated_passages(odd).where("doc_id < 6").count() == 0 and compact_windows.repeated_passages(none).count() == 0
 
 
+def test_op9_near_passages_in_large_buckets(spark):
+    r = random.Random(13)
+    phrase, rows = words(r, 40, 10**6), []
+    for i in range(40):
+        # two texts with the phrase at the head of a passage of their own; one word after it is changed, so no 50 words are equal
+        tail = words(r, 9, 10**6)
+        for k in (2 * i, 2 * i + 1):
+            rows.append((k, " ".join(words(r, 40, 10**6) + phrase + [f"changed{k}"] + tail + words(r, 40, 10**6))))
+    got = {(x.doc_id, x.source_doc_id) for x in compact_windows.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [compact_windows.shingles(h, 5) for _, h in tokens.token_hashes([t for _, t in rows])]
+    want = {(a, b) for b, a in combinations(range(80), 2) if compact_windows.passages(sets[a], sets[b], 46, 80)}
+    assert want == {(2 * i + 1, 2 * i) for i in range(40)} == got
+
+
+def test_op9_rare_places_meet_every_match():
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        count, missed = r.integers(1, 6, 60), r.choice(60, 9, replace=False)
+        count[missed[:4]] = 1
+        hit = ~np.isin(np.arange(60), missed)
+        count[hit] += 1
+        places = compact_windows.rare_places(count, np.arange(15), 46, 80)
+        for w in range(15):
+            if hit[w : w + 46].sum() >= 41:
+                assert hit[places[(places >= w) & (places < w + 46)]].any()
+
+
 def test_op3_round_trip(spark, tmp_path):
     rows = [(1, "http://a/x", "same"), (2, "http://a/y", "same"), (3, "http://b/\r\nz", "é\r\n\r\nWARC/1.1\r\n"), (4, None, None), (5, "u", ""), (6, "u", "x" * 100_000)]
     warc.write_captures(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))

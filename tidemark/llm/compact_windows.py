@@ -10,9 +10,10 @@ A passage contains the centre of a compact window and reaches at least half its
 gives two keys: its hash with the least hashes of further functions over the half passage from it to the right, and over the one
 to the left. Passages that are equal share a key under every first function, similar ones under some. In each bucket of
 equal keys the members are compared with the smallest text. Members that share no verified passage with it there
-are compared pair by pair if few are left; else (a frequent phrase shorter than a passage) their texts are signed
-again over whole passages and with more functions, which tells such phrases from passages. At the last level the members of a bucket are compared with one
-of them after another until few are left. A passage is verified by its shingles: Jaccard similarity at
+are compared pair by pair if few are left; else (a frequent phrase shorter than a passage) they are dealt anew, by single shingles.
+A passage leaves few shingles of a window unmatched, so one of the rarest few of each window is in both texts: the windows
+around the signature are looked up by those, in the whole texts of the others. A text that shares a verified passage there is settled, as before; none is dropped unsettled. Where a shingle still has many texts, they are
+compared with a growing number of the smallest ones until few are left. A passage is verified by its shingles: Jaccard similarity at
 least ``percent``. Identical texts are put behind one representative first.
 """
 
@@ -29,8 +30,9 @@ from .common import cut, only, without
 from .tokens import scramble, shingles, token_hashes
 
 WIDTH = 5
-#: Buckets up to this size are compared pair by pair; larger ones are signed again, with LAST functions at most.
-SMALL, LAST = 32, 16
+#: Buckets up to this size are compared pair by pair; larger ones are dealt anew by their rare shingles, and
+#: what is still larger there is compared with 1, then GROWTH, then GROWTH ** 2 .. of its members.
+SMALL, GROWTH = 32, 8
 #: Characters of the texts that are compared at a time.
 SLICE = 1 << 21
 #: Keys that a task holds before it hands them on.
@@ -61,12 +63,8 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
 def signatures(s: np.ndarray, least: int, groups: int, functions: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the text in each of ``groups`` groups of functions, and the first place of each.
 
-    With two functions they are those of half passages at the centres of the compact windows, and the places their starts. With more,
-    the compact windows of all functions of a group are intersected: a run of passage starts over which every minimum stays the
-    same is one key, placed at the first of them. A phrase shorter than a passage seldom holds all the minima.
+    They are those of half passages at the centres of the compact windows, and the places their starts.
     """
-    if functions > 2:
-        return _runs(s, least, groups, functions)
     half = least // 2
     keys, places = [], []
     for p in range(groups):
@@ -87,24 +85,7 @@ def signatures(s: np.ndarray, least: int, groups: int, functions: int = 2) -> tu
     return np.concatenate(keys), np.concatenate(places)
 
 
-def _runs(s: np.ndarray, least: int, groups: int, functions: int) -> tuple[np.ndarray, np.ndarray]:
-    keys, places = [], []
-    for p in range(groups):
-        change = np.zeros(len(s) - least + 1, bool)
-        change[0] = True
-        key = np.full(len(change), functions, np.uint64)
-        for i in range(functions):
-            low = sliding_min(scramble(s, 10_000 + 100 * p + i), least)
-            change[1:] |= low[1:] != low[:-1]
-            key = key * np.uint64(0x100000001B3) + low
-        turn = np.flatnonzero(change)
-        k, first = np.unique(scramble(key[turn], 57 + p), return_index=True)
-        keys.append(k)
-        places.append(turn[first])
-    return np.concatenate(keys), np.concatenate(places)
-
-
-def _signed(least: int, groups: int, functions: int):
+def _signed(least: int, groups: int):
     def rows(ids: list, keys: list, places: list) -> pd.DataFrame:
         doc = np.repeat(np.array(ids, np.int64), [len(k) for k in keys])
         return pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "doc": doc, "place": np.concatenate(places).astype(np.int32)})
@@ -116,7 +97,7 @@ def _signed(least: int, groups: int, functions: int):
                 s = shingles(h, WIDTH)
                 if len(s) < least:
                     continue
-                k, at = signatures(s, least, groups, functions)
+                k, at = signatures(s, least, groups)
                 ids.append(pdf["doc_id"].iat[i])
                 keys.append(k)
                 places.append(at)
@@ -130,6 +111,48 @@ def _signed(least: int, groups: int, functions: int):
     return run
 
 
+def _needed(least: int, percent: int) -> int:
+    """Shingles of a window of a passage that occur in its source, at least."""
+    return int(np.ceil(2 * percent / (100 + percent) * least - 1e-9))
+
+
+def _distinct(frames):
+    """The shingles of each text and the first place of each."""
+    for pdf in frames:
+        for i, h in token_hashes(pdf["text"].tolist()):
+            s, first = np.unique(shingles(h, WIDTH), return_index=True)
+            yield pd.DataFrame({"key": s.view(np.int64), "doc": pdf["doc_id"].iat[i], "place": first.astype(np.int32)})
+
+
+def rare_places(count: np.ndarray, starts: np.ndarray, least: int, percent: int) -> np.ndarray:
+    """Places of the rarest shingles of the windows at ``starts``, of which one at least is matched wherever a window is.
+
+    ``count`` has the texts with the shingle of each place, 1 for those that no other text has. Windows with too many of these match nowhere.
+    """
+    spare = min(least - _needed(least, percent), least - 1)
+    near = np.lib.stride_tricks.sliding_window_view(count, least)[starts]
+    able = (near == 1).sum(1) <= spare
+    places = np.unique(starts[able][:, None] + np.argpartition(near[able], spare, axis=1)[:, : spare + 1])
+    return places[count[places] > 1]
+
+
+def _probes(least: int, percent: int):
+    def run(frames):
+        for pdf in frames:
+            for i, h in token_hashes(pdf["text"].tolist()):
+                s = shingles(h, WIDTH)
+                shared = np.array(pdf["shared"].iat[i], np.int64).view(np.uint64)
+                order = np.argsort(shared)
+                at = np.minimum(np.searchsorted(shared, s, sorter=order), len(shared) - 1)
+                count = np.where(shared[order][at] == s, np.array(pdf["counts"].iat[i], np.int64)[order][at], 1)
+                spans = [np.arange(max(0, p - least + 1), min(len(s) - least, p + least // 2 - 1) + 1) for p in pdf["places"].iat[i]]
+                at = rare_places(count, np.unique(np.concatenate(spans)), least, percent)
+                if len(at):
+                    yield pd.DataFrame({"key": s[at].view(np.int64), "doc": pdf["doc_id"].iat[i], "place": at.astype(np.int32)})
+
+    return run
+
+
 def passages(a: np.ndarray, b: np.ndarray, least: int, percent: int, order: np.ndarray | None = None) -> list[tuple[int, int, int, int, float]]:
     """Verified passages ``(begin, end, source begin, source end, similarity)`` of shingle sequence a in b.
 
@@ -140,7 +163,7 @@ def passages(a: np.ndarray, b: np.ndarray, least: int, percent: int, order: np.n
     ranked = b[order]
     at = np.minimum(np.searchsorted(ranked, a), len(b) - 1)
     hit = ranked[at] == a
-    need = int(np.ceil(2 * percent / (100 + percent) * least - 1e-9))
+    need = _needed(least, percent)
     total = np.concatenate(([0], np.cumsum(hit)))
     good = np.flatnonzero(total[least:] - total[: len(total) - least] >= need)
     out = []
@@ -257,27 +280,35 @@ def repeated_passages(
         rest = left.where("doc <> pivot").join(settled, ["key", "doc"], "left_anti").select("key", "doc", "place")
         return cut(pick(rest), "rest")
 
-    functions, pool = 2, without(docs, copies.select("doc_id"), "doc_id")
-    while True:
-        rows = pool.mapInPandas(_signed(least, groups, functions), "key long, doc long, place int")
-        large = cut(pick(rows), "shared")
-        while True:
-            left = turn(large)
-            if left.isEmpty():
-                break
-            few = left.where(F.col("m") <= SMALL).select("key", "doc")
-            pairs = few.select("key", F.col("doc").alias("a")).join(few.select("key", F.col("doc").alias("b")), "key").where("a > b")
+    def deal(many: DataFrame) -> None:
+        """Compares the rests of large buckets: texts that share one of the rarest shingles of a window around a signature."""
+        texts = cut(only(docs, many.select("doc_id"), "doc_id").dropDuplicates(["doc_id"]), "texts")
+        index = cut(texts.mapInPandas(_distinct, "key long, doc long, place int"), "index")
+        common = index.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+        index = cut(index.join(common, "key"), "common")
+        counts = index.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("key").alias("shared"), F.collect_list("c").alias("counts"))
+        probes = cut(texts.join(many, "doc_id").join(counts, "doc_id").mapInPandas(_probes(least, percent), "key long, doc long, place int"), "probes")
+        others = index.join(probes.select("key").distinct(), "key", "left_semi").join(probes, ["key", "doc"], "left_anti")
+        rows = probes.withColumn("probe", F.lit(True)).union(others.select("key", "doc", "place", F.lit(False)))
+        ranked = lambda r: r.withColumn("r", F.dense_rank().over(same.orderBy("doc"))).withColumns({"m": F.max("r").over(same), "last": F.max(F.when(F.col("probe"), F.col("doc"))).over(same), "pivot": F.min("doc").over(same)}).where("last > pivot").drop("last", "pivot")
+        rows, pivots = cut(ranked(rows), "dealt"), 1
+        while not rows.isEmpty():
+            sources = rows.where((F.col("r") <= pivots) | (F.col("m") <= SMALL)).select("key", F.col("doc").alias("b")).distinct()
+            pairs = rows.where("probe").select("key", F.col("doc").alias("a"), "place").join(sources, "key").where("a > b")
             verify(pairs.select("a", "b").distinct())
-            large = left.where(F.col("m") > SMALL)
-            if functions < LAST or large.isEmpty():
-                break
-        if left.isEmpty() or functions == LAST:
-            break
-        many = cut(large.select(F.col("doc").alias("doc_id")).distinct(), "many")
-        if many.isEmpty():
-            break
-        functions *= 2
-        pool = only(docs, many, "doc_id")
+            hold = whole(found).select(F.col("doc_id").alias("a"), F.col("source_doc_id").alias("b"), "begin_word", (F.col("begin_word") + F.col("n_words")).alias("end"))
+            rest = rows.where((F.col("r") > pivots) & (F.col("m") > SMALL)).drop("r", "m")
+            settled = pairs.join(hold, ["a", "b"]).where((F.col("place") < F.col("end")) & (F.col("place") >= F.col("begin_word"))).select("key", F.col("a").alias("doc"), "place").distinct()
+            rows, pivots = cut(ranked(rest.join(settled, ["key", "doc", "place"], "left_anti")), "rest"), pivots * GROWTH
+
+    pool = without(docs, copies.select("doc_id"), "doc_id")
+    left = turn(cut(pick(pool.mapInPandas(_signed(least, groups), "key long, doc long, place int")), "shared"))
+    few = left.where(F.col("m") <= SMALL).select("key", "doc")
+    pairs = few.select("key", F.col("doc").alias("a")).join(few.select("key", F.col("doc").alias("b")), "key").where("a > b")
+    verify(pairs.select("a", "b").distinct())
+    many = cut(left.where(F.col("m") > SMALL).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("place").alias("places")), "many")
+    if not many.isEmpty():
+        deal(many)
 
     copied = copies.where(F.col("n") >= min_words).select("doc_id", F.lit(0).cast("long").alias("begin_word"), F.col("n").alias("n_words"), F.col("rep").alias("source_doc_id"), F.lit(0).cast("long").alias("source_begin_word"), F.col("n").alias("source_n_words"), F.lit(1.0).alias("similarity"))
     return whole([*found, copied]).distinct()
