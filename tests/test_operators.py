@@ -9,6 +9,7 @@ from tidemark.functions import market, text
 from tidemark.operators import inference, panel, portfolio, sequence
 from tidemark.operators.asof import asof
 from tidemark.operators.tables import upsert
+from tidemark.plans import studies, tables
 from tidemark.sources import files
 from tidemark.streaming import bars as stream
 
@@ -82,6 +83,18 @@ def test_concurrency_cap(spark):
     assert sorted(r.id for r in kept.collect()) == [1, 2, 4]
 
 
+def test_concurrency_cap_takes_all_trades(spark):
+    d = "/root/testdata/sf0.001"
+    trades = sorted((r.tx_date, r.tx_date + dt.timedelta(20), r.trade_id) for r in tables.disclosures(spark, d).collect())
+    still, want = [], set()
+    for start, stop, i in trades:
+        still = [x for x in still if x > start]
+        if len(still) < 5:
+            still.append(stop)
+            want.add(i)
+    assert {r.id for r in studies.concurrency_cap(spark, d).collect()} == want
+
+
 def test_guidance_chain(spark):
     rows = [("A", 1, ts("2024-01-01"), 100.0, "STATED"), ("A", 2, ts("2024-01-08"), 110.0, "RAISED"), ("A", 3, ts("2024-01-08"), 120.0, "RAISED"), ("A", 4, ts("2024-01-15"), 0.0, "REAFFIRMED"), ("A", 5, ts("2024-01-16"), 0.0, "WITHDRAWN")]
     out = {r.id: r.revision for r in sequence.carry_links(spark.createDataFrame(rows, "k string, id int, t timestamp, v double, a string"), ["k"], "t", "v", "a").collect()}

@@ -59,7 +59,7 @@ def triple_barrier_pessimistic(spark, d):
 
 @query("concurrency_cap")
 def concurrency_cap(spark, d):
-    x = t.disclosures(spark, d).where("trade_id % 40 = 0").select(F.col("trade_id").alias("id"), F.col("tx_date").cast("timestamp").alias("s"), F.date_add("tx_date", 20).cast("timestamp").alias("e"))
+    x = t.disclosures(spark, d).select(F.col("trade_id").alias("id"), F.col("tx_date").cast("timestamp").alias("s"), F.date_add("tx_date", 20).cast("timestamp").alias("e"))
     return sequence.concurrency_cap(x, "s", "e", 5)
 
 
