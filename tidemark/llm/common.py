@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_FALLBACK: dict[str, str] = {}
-
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``. Without one the executors would write where nobody else reads, so it must be set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+        base = base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tidemark-scratch"
     if not base:
-        base = _FALLBACK.setdefault("dir", tempfile.mkdtemp(prefix="tidemark-"))
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return base.rstrip("/")
 
 
@@ -30,6 +29,16 @@ def cut(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``cut`` whose successors are written; nothing may read them afterwards."""
+    for df in tables:
+        jvm, folder = df.sparkSession._jvm, {f.rpartition("/")[0] for f in df.inputFiles()}
+        for path in folder:
+            assert "/tidemark-" in path, path
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,30 +61,29 @@ def bounded_sample(ids: DataFrame, key: str, most: int) -> DataFrame:
     return ids.orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(most)
 
 
-def components(links: DataFrame, a: str, b: str, max_rounds: int = 50) -> DataFrame:
+def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of the links ``(a, b)``: ``(id, component)`` with the smallest id reachable.
 
     Alternates large-star and small-star steps, each a partial aggregation to the smallest neighbour and an
-    equi-join, until a round changes nothing. Only the two convergence sums reach the driver.
+    equi-join, until a round changes nothing, however many that takes (about the logarithm of the longest path).
+    Only the two convergence sums reach the driver. Ids may be of any type that has an order.
     """
-    edges = cut(
-        links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links"
-    )
-    ids = edges.select(F.col("u").alias("id")).union(edges.select("v")).distinct()
-    before = None
-    for _ in range(max_rounds):
+    start = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links")
+    edges, before = start, None
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = cut(large.where("u <> v").distinct(), "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "small")
+        after = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "small")
+        discard(large, *([edges] if edges is not start else []))
+        edges = after
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    found = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    named = found.union(roots).groupBy("id").agg(F.min("component").alias("component"))
-    return ids.join(named, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    discard(start)
+    # every id of a link but the least of its component is the larger end of an edge to that least one
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct())

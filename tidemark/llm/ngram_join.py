@@ -1,17 +1,19 @@
 """N-gram Jaccard join by parity sketches.
 
 The distinct shingles of a text flip bits of a sketch at the places their hashes name, so two sketches differ in at most as many bits as
-the sets have elements in their symmetric difference, which a Jaccard similarity t bounds by (1 - t) / (1 + t) (|A| + |B|). Sizes
-fall into overlapping bands, so that each possible pair shares a band. In a band with bound k the sketch is cut into
-k + 1 + z parts; a pair within the bound agrees in more than z parts, and if one of the two has at most z empty
-parts, in one that is not empty. A part of a very long sparse sketch is held as the XOR of the hashes of its shingles.
-So texts are joined on equal parts (on empty ones only among the few texts with more than z of them), compared by
-the Hamming distance of a short sketch, and last by their shingles.
+the sets have elements in their symmetric difference. Sizes fall into overlapping bands by the smaller set of a pair: a Jaccard similarity t
+bounds the difference by (1 - t) / t of that size, k at the upper end of the band. In a band the sketch is cut into
+k + 1 + z parts; a pair within the bound agrees in more than z parts, in z + 1 - e at least that are not empty if one of the two has
+e <= z empty ones. A part of a very long sparse sketch is held as the XOR of the hashes of its shingles.
+
+Since a pair agrees in several parts, a text needs to be looked up only by its rarest ones: of the parts that some other text has too, all but
+the ``need - 1`` most frequent (in one order for all texts, so that the rarest common part of a pair is kept on both sides). What is kept
+of parts is joined on equality, compared by the Hamming distance of a short sketch, and last by the shingles.
 
 Equal sets are first put behind one representative. In each group of equal parts the members are compared with the smallest id.
-Only groups that hold several components after that are looked into again. Small ones give their pairs of different components, each set of members once.
-The members of large ones form families (what their groups connect); a family is cut into blocks, and each pair of
-blocks is one task's worth of sketches, compared as bit matrices, so that only pairs whose sketches allow a link come out. No pair is lost.
+Only groups that hold several components after that are looked into again, each set of members once. Small ones give their pairs of different
+components; a large one is cut into blocks, and each pair of blocks is one task's worth of sketches, so that only pairs whose sketches
+allow a link come out. No pair is lost.
 """
 
 from __future__ import annotations
@@ -21,36 +23,41 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, only, without
+from .common import components, cut, discard, only, without
 from .tokens import scramble, shingles, token_hashes
 
 #: Ratio of the lower ends of neighbouring size bands.
 STEP = 1.5
 #: Groups up to this size are compared pair by pair.
 SMALL = 32
-#: Members of a block of a family, and bits of the sketches by which blocks are compared.
-BLOCK, BITS = 256, 2048
+#: Members of a block of a large group.
+BLOCK = 256
 
 
 def bands(n: int, percent: int) -> list[tuple[int, int, int]]:
     """``(band, k, z)`` for each band that a set of n shingles belongs to; bands with k = 0 hold equal sets only."""
     found, top = [], int(np.floor(np.log(n) / np.log(STEP) + 1e-9))
     for g in range(max(0, top - 3), top + 1):
-        low, high = STEP**g, int(STEP ** (g + 1) * 100 / percent + 1e-9)
-        if low <= n <= high and (k := 2 * high * (100 - percent) // (100 + percent)):
-            found.append((g, k, 2 + (k + 1) // 16))
+        low, high = STEP**g, STEP ** (g + 1)
+        if low - 1e-9 <= n <= high * 100 / percent + 1e-9 and (k := int(high * (100 - percent) / percent + 1e-9)):
+            found.append((g, k, 4 + k // 4))
     return found
 
 
-def parts(distinct: np.ndarray, count: int, band: int, level: int = 0) -> tuple[np.ndarray, int]:
+def width_of(n: int, percent: int) -> int:
+    """Bits of the short sketch of a set: eight for each element by which a set of its size may differ, as a power of two."""
+    return 1 << max(6, int(16 * n * (100 - percent) / (100 + percent)).bit_length())
+
+
+def parts(distinct: np.ndarray, count: int, band: int) -> tuple[np.ndarray, int]:
     """Keys of the parts of the sketch, and how many parts are empty; the keys of empty parts stand last."""
-    x = scramble(distinct, 101 + level)
+    x = scramble(distinct, 101)
     order = np.argsort(x)
     at = ((x[order] >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
     running = np.concatenate((np.zeros(1, np.uint64), np.bitwise_xor.accumulate(scramble(distinct[order], 11))))
     cuts = np.searchsorted(at, np.arange(count + 1, dtype=np.uint64))
     word, empty = running[cuts[1:]] ^ running[cuts[:-1]], cuts[1:] == cuts[:-1]
-    keys = scramble(word + np.arange(count, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), 1000 * level + band)
+    keys = scramble(word + np.arange(count, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), band)
     return np.concatenate((keys[~empty], keys[empty])), int(empty.sum())
 
 
@@ -59,72 +66,69 @@ def sketch(distinct: np.ndarray, bits: int) -> np.ndarray:
     return np.bincount((scramble(distinct, 5) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
 
 
-def _sketched(width: int, percent: int, level: int):
+def _packed(distinct: np.ndarray, percent: int) -> bytes:
+    return np.packbits(sketch(distinct, width_of(len(distinct), percent)).astype(np.uint8)).tobytes()
+
+
+def _sketched(width: int, percent: int):
     def run(frames):
         for pdf in frames:
-            cols: dict[str, list] = {c: [] for c in ("doc_id", "n", "h1", "h2", "first", "keys")}
+            cols: dict[str, list] = {c.split()[0]: [] for c in SKETCHES.split(", ")}
             for i, h in token_hashes(pdf["text"].tolist()):
                 s = np.unique(shingles(h, width))
                 own = (pdf["doc_id"].iat[i], len(s), int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0, int(np.bitwise_xor.reduce(scramble(s, 7)).view(np.int64)) if len(s) else 0)
                 for j, (g, k, z) in enumerate((bands(len(s), percent) if len(s) else []) or [(-1, 0, 0)]):
-                    keys, empty = parts(s, k + 1 + z, g, level) if k else (np.zeros(0, np.uint64), 0)
+                    keys, empty = parts(s, k + 1 + z, g) if k else (np.zeros(0, np.uint64), 0)
+                    need = 1
                     if k and empty <= z:
-                        keys = keys[: len(keys) - empty]
-                    for c, v in zip(cols, (*own, j == 0, keys.view(np.int64)), strict=True):
+                        keys, need = keys[: len(keys) - empty], z + 1 - empty
+                    for c, v in zip(cols, (*own, j == 0, g, need, keys.view(np.int64), _packed(s, percent) if j == 0 and len(s) else None), strict=True):
                         cols[c].append(v)
             yield pd.DataFrame(cols)
 
     return run
 
 
-SKETCHES = "doc_id long, n long, h1 long, h2 long, first boolean, keys array<long>"
+SKETCHES = "doc_id long, n long, h1 long, h2 long, first boolean, band int, need int, keys array<long>, bits binary"
 
 
-def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """The sketches first: sets further apart than the similarity allows are mostly told by them alone."""
-    total = len(x) + len(y)
-    if not total:
-        return False
-    bound = (100 - percent) * total
-    bits = 1 << max(6, int(4 * total * (100 - percent) / 100).bit_length())
-    if (100 + percent) * np.count_nonzero(sketch(x, bits) != sketch(y, bits)) > bound:
-        return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= percent * (total - both)
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A packed sketch at a smaller power of two: parities of the places that fall together."""
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
 
 
-def _exact(width: int, percent: int):
-    def run(frames):
-        for pdf in frames:
-            sets = {side: {i: np.unique(shingles(h, width)) for i, h in token_hashes(pdf[side].tolist())} for side in ("ta", "tb")}
-            yield pdf[["a", "b"]][[_linked(sets["ta"][i], sets["tb"][i], percent) for i in range(len(pdf))]]
+def apart(x: bytes, y: bytes) -> int:
+    """Hamming distance of two packed sketches at the smaller of their sizes."""
+    one, two = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    size = min(len(one), len(two))
+    return int(np.bitwise_count(folded(one, size) ^ folded(two, size)).sum())
 
-    return run
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
-def _short(width: int):
-    """Sketches of BITS bits, packed, for the comparison of blocks."""
 
+def _exact(width: int, percent: int):
     def run(frames):
         for pdf in frames:
-            rows = []
-            for i, h in token_hashes(pdf["text"].tolist()):
-                s = np.unique(shingles(h, width))
-                rows.append((pdf["doc_id"].iat[i], len(s), np.packbits(sketch(s, BITS).astype(np.uint8)).tobytes()))
-            yield pd.DataFrame(rows, columns=["id", "n", "bits"])
+            code, once = pd.factorize(np.concatenate((pdf["ta"].to_numpy(object), pdf["tb"].to_numpy(object))))
+            sets = {i: np.unique(shingles(h, width)) for i, h in token_hashes(list(once))}
+            code = code.reshape(2, len(pdf)).tolist()
+            yield pdf[["a", "b"]][[_linked(sets[x], sets[y], percent) for x, y in zip(*code, strict=True)]]
 
     return run
 
 
 def _near(percent: int):
-    """The pairs whose sizes and sketches allow a link."""
+    """The pairs whose sketches allow a link."""
 
     def run(frames):
         for pdf in frames:
-            one, two = (np.frombuffer(b"".join(pdf[c]), np.uint64).reshape(len(pdf), BITS // 64) for c in ("sa", "sb"))
-            apart, total = np.bitwise_count(one ^ two).sum(1, dtype=np.int64), (pdf["na"] + pdf["nb"]).to_numpy()
-            sized = 100 * np.minimum(pdf["na"], pdf["nb"]) >= percent * np.maximum(pdf["na"], pdf["nb"])
-            yield pdf[["a", "b"]][sized.to_numpy() & ((100 + percent) * apart <= (100 - percent) * total)]
+            ok = [(100 + percent) * apart(x, y) <= (100 - percent) * n for x, y, n in zip(pdf["sa"], pdf["sb"], pdf["na"] + pdf["nb"], strict=True)]
+            yield pdf[["a", "b"]][ok]
 
     return run
 
@@ -132,84 +136,97 @@ def _near(percent: int):
 def _block_pairs(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iat[0]), int(pdf["j"].iat[0])
-        one, two = pdf[pdf["b"] == i], pdf[pdf["b"] == j]
-        bits = [np.frombuffer(b"".join(x["bits"]), np.uint64).reshape(len(x), BITS // 64) for x in (one, two)]
-        id1, id2, c1, c2, n1, n2 = one["id"].to_numpy(), two["id"].to_numpy(), one["c"].to_numpy(), two["c"].to_numpy(), one["n"].to_numpy(), two["n"].to_numpy()
-        out = []
-        for k in range(len(one)):
-            apart = np.bitwise_count(bits[1] ^ bits[0][k]).sum(1, dtype=np.int64)
-            total = n1[k] + n2
-            ok = (c2 != c1[k]) & (100 * np.minimum(n1[k], n2) >= percent * np.maximum(n1[k], n2)) & ((100 + percent) * apart <= (100 - percent) * total)
-            ok &= (id2 > id1[k]) if i == j else True
-            for other in id2[ok]:
-                out.append((min(id1[k], other), max(id1[k], other)))
+        sides, out = [], []
+        for b in (i, j):
+            side = pdf[pdf["b"] == b]
+            by_size = [(len(k), side.loc[rows.index]) for k, rows in side.groupby(side["bits"].str.len()) for k in [rows["bits"].iat[0]]]
+            sides.append([(size, np.frombuffer(b"".join(x["bits"]), np.uint8).reshape(len(x), size), x[["id", "c", "n"]].to_numpy()) for size, x in by_size])
+        for size1, bits1, own1 in sides[0]:
+            for size2, bits2, own2 in sides[1]:
+                size = min(size1, size2)
+                one, two = folded(bits1.T, size).T, folded(bits2.T, size).T
+                for (a, c, n), x in zip(own1.tolist(), one, strict=True):
+                    ids, parts_of, sizes = own2.T
+                    ok = (parts_of != c) & (100 * np.minimum(n, sizes) >= percent * np.maximum(n, sizes)) & ((ids > a) if i == j else True)
+                    ok &= (100 + percent) * np.bitwise_count(two ^ x).sum(1, dtype=np.int64) <= (100 - percent) * (n + sizes)
+                    out.extend((min(a, other), max(a, other)) for other in ids[ok].tolist())
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
-    """The links among candidates ``(a, b)``."""
-    ends = lambda p: p.select(F.col("a").alias("doc_id")).union(p.select("b")).distinct()
-    bits = cut(only(docs, cut(ends(pairs), f"{name}-ends"), "doc_id").mapInPandas(_short(width), "id long, n long, bits binary"), f"{name}-bits")
+def _verified(pairs: DataFrame, bits: DataFrame, docs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
+    """The links among candidates ``(a, b)``. ``bits`` has ``(id, n, bits)`` once for each id."""
     side = lambda x: bits.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"s{x}"))
-    pairs = cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_near(percent), "a long, b long").distinct(), f"{name}-near")
-    ids = ends(pairs)
-    texts = cut(only(docs, cut(ids, f"{name}-ids"), "doc_id"), f"{name}-texts")
-    wide = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    near = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(sized).mapInPandas(_near(percent), "a long, b long"), f"{name}-near")
+    ids = cut(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), f"{name}-ids")
+    texts = cut(only(docs, ids, "doc_id"), f"{name}-texts")
+    wide = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     wide = wide.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return cut(wide.mapInPandas(_exact(width, percent), "a long, b long"), name)
+    links = cut(wide.mapInPandas(_exact(width, percent), "a long, b long").distinct(), name)
+    discard(near, ids, texts)
+    return links
 
 
 def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` per row: the components of the links with 100 |A∩B| >= percent |A∪B|.
 
     Null and empty texts have no shingles and link with nothing. Rows that repeat an id count as one document with
-    the smallest of their sets' representatives; a row without an id has no component. An empty table gives no rows.
-    Other columns are ignored.
+    the smallest of their sets' representatives; a row without an id has no component. A very long text has as many parts as
+    its size asks for. An empty table gives no rows. Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = cut(docs.where("doc_id is not null").mapInPandas(_sketched(width, percent, 0), SKETCHES), "sketches")
+    rows = cut(docs.where("doc_id is not null").mapInPandas(_sketched(width, percent), SKETCHES), "sketches")
     sets = rows.where("first").select("doc_id", "n", "h1", "h2")
     copies = sets.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
     copied = cut(sets.join(copies, ["n", "h1", "h2"]).where("doc_id <> rep").select("doc_id", "rep").groupBy("doc_id").agg(F.min("rep").alias("rep")), "copied")
-    keys = without(rows.where(F.size("keys") > 0), copied.select("doc_id"), "doc_id").select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"))
-
-    # one shuffle of all parts; only those that several texts hold go on
-    same = Window.partitionBy("key")
-    shared = keys.withColumns({"pivot": F.min("doc").over(same), "last": F.max("doc").over(same)}).where("pivot <> last").drop("last")
-    shared = cut(shared, "shared")
+    # several texts under one id are not told apart by their parts: such an id is looked up by all of them
+    again = cut(sets.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "again")
+    whole = rows.where(F.size("keys") > 0).select("doc_id", "band", "need", "keys")
+    if not again.isEmpty():
+        whole = whole.join(again.withColumn("more", F.lit(True)), "doc_id", "left").withColumn("need", F.when(F.col("more"), 1).otherwise(F.col("need"))).drop("more")
+    keys = without(whole, copied.select("doc_id"), "doc_id").select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"), F.col("band").cast("byte").alias("band"), F.col("need").cast("int").alias("need"))
+
+    # counts are summed before they are shuffled, so that a part that a third of all texts has is no hot row
+    common = cut(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "common")
+    shared = keys.join(common, "key")
+    own = Window.partitionBy("doc", "band")
+    rank = F.row_number().over(own.orderBy("m", "key"))
+    kept = shared.withColumns({"r": rank, "s": F.count("*").over(own)}).where(F.col("r") <= F.col("s") - F.col("need") + 1).select("key", "doc")
+    kept = cut(kept, "kept")
+    groups = kept.groupBy("key").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last")).where("pivot <> last").select("key", "pivot")
+    shared = cut(kept.join(groups, "key"), "shared")
+    discard(kept, common)
+    bits = cut(rows.where("first and n > 0").select(F.col("doc_id").alias("id"), "n", "bits").dropDuplicates(["id"]), "bits")
     tested = cut(shared.where("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
-    links = _verified(tested, docs, width, percent, "links")
+    if not again.isEmpty():
+        bits = cut(without(bits, again.withColumnRenamed("doc_id", "id"), "id"), "bits")
+    links = _verified(tested, bits, docs, width, percent, "links")
     found = cut(components(links, "a", "b"), "components")
 
-    sizes = rows.where("first and n > 0").select(F.col("doc_id").alias("doc"), "n").dropDuplicates(["doc"])
     named = shared.select("key", "doc").join(found.withColumnRenamed("id", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component")
-    mixed = named.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("m")).where("c1 <> c2").select("key", "m")
-    named = cut(named.join(mixed, "key").join(sizes, "doc"), "mixed")
-    # many parts have the same few members: each such set once
-    few = named.where(F.col("m") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("doc", "n", "c"))).alias("all")).select("all").distinct()
-    pairs = few.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).where("x.doc < y.doc and x.c <> y.c")
-    pairs = pairs.where(100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
-    many = named.where(F.col("m") > SMALL)
-    if not many.isEmpty():
-        stars = many.groupBy("key").agg(F.min("doc").alias("b"))
-        family = cut(components(many.join(stars, "key").select(F.col("doc").alias("a"), "b"), "a", "b"), "families")
-        sized = family.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        member = family.join(sized, "component").join(many.select(F.col("doc").alias("id"), "c").distinct(), "id")
-        held = only(docs, member.select(F.col("id").alias("doc_id")), "doc_id").mapInPandas(_short(width), "id long, n long, bits binary")
-        member = member.join(held.dropDuplicates(["id"]), "id").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        dealt = member.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select(F.col("component").alias("family"), F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "id", "c", "n", "bits")
-        pairs = pairs.union(dealt.groupBy("family", "i", "j").applyInPandas(_block_pairs(percent), "a long, b long"))
+    # many parts have the same members: each such set once, told by its size and two sums of hashes
+    print_of = [F.sum(F.xxhash64("doc", F.lit(i)).cast("decimal(38,0)")).alias(f"f{i}") for i in (1, 2)]
+    mixed = named.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("m"), *print_of).where("c1 <> c2")
+    mixed = mixed.groupBy("m", "f1", "f2").agg(F.min("key").alias("key")).select("key", "m")
+    named = cut(named.join(mixed, "key").join(bits.withColumnRenamed("id", "doc"), "doc"), "mixed")
+    few = named.where(F.col("m") <= SMALL).select("key", "doc", "n", "c")
+    pairs = few.select("key", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")).join(few.select("key", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")), "key")
+    pairs = pairs.where("a < b and ca <> cb").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b").distinct()
+    many = named.where(F.col("m") > SMALL).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    many = many.withColumn("b", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = many.select("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", F.col("doc").alias("id"), "c", "n", "bits")
+    pairs = pairs.union(dealt.groupBy("key", "i", "j").applyInPandas(_block_pairs(percent), "a long, b long"))
     pairs = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "more-pairs")
     if not pairs.isEmpty():
-        links = cut(links.union(_verified(pairs, docs, width, percent, "more-links")), "all-links")
+        links = cut(links.union(_verified(pairs, bits, docs, width, percent, "more-links")), "all-links")
         found = cut(components(links, "a", "b"), "components")
+    discard(shared, tested, pairs, bits, named)
 
     named = sets.join(copied, "doc_id", "left").withColumn("id", F.coalesce("rep", "doc_id")).join(found, "id", "left")
     named = named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-    nameless = docs.where("doc_id is null").mapInPandas(_sketched(width, percent, 0), SKETCHES).where("first")
+    nameless = docs.where("doc_id is null").mapInPandas(_sketched(width, percent), SKETCHES).where("first")
     return named.union(nameless.select(F.lit(None).cast("long"), "n", F.lit(None).cast("long")))
 
 
