@@ -198,13 +198,21 @@ def test_op5_tiles_against_brute_force():
         assert abs(sum(n for *_, n in got) - brute(a, b, 3)) <= 3  # ties between equal tiles may fall otherwise
 
 
-def test_op9_windows_are_tree_nodes():
+def test_op9_cells_are_intervals_of_tree_nodes():
     r = np.random.default_rng(2)
-    h = r.permutation(300).astype(np.uint64)
-    low = compact_windows.sliding_min(h, 20)
-    assert list(low) == [h[i : i + 20].min() for i in range(len(h) - 19)]
-    centres = {int(np.flatnonzero(h == v)[0]) for v in low}
-    assert centres == {c for _, c, _ in compact_windows.cartesian_windows(h, 20)}
+    s, least = r.permutation(300).astype(np.uint64), 20
+    low = compact_windows.minima(s, least)
+    salts = compact_windows.scramble(np.arange(1, len(low) + 1, dtype=np.uint64), 91)
+    for p, row in enumerate(low):
+        h = compact_windows.scramble(s ^ salts[p])
+        assert list(row) == [h[i : i + least].min() for i in range(len(h) - least + 1)]
+        turns = np.flatnonzero(row[1:] != row[:-1]) + 1
+        runs = {(int(x), int(y) - 1) for x, y in zip([0, *turns], [*turns, len(row)], strict=True)}
+        assert runs == {(max(left, c - least + 1), min(c, right - least + 1)) for left, c, right in compact_windows.cartesian_windows(h, least)}
+    keys, los, his = compact_windows.cells(s, least)
+    want = {(b, tuple(low[2 * b : 2 * b + 2, i])) for b in range(compact_windows.BANDS) for i in range(low.shape[1])}
+    assert len(set(keys.tolist())) == len(want) and int((his - los + 1).sum()) == compact_windows.BANDS * low.shape[1]
+    assert all(lo <= hi for lo, hi in zip(los, his, strict=True)) and len(los) == len(his) == len(keys)
 
 
 def test_op9_equal_passage_among_scattered_changes():
@@ -226,12 +234,19 @@ def test_op9_finds_planted_passages(spark, odd, none):
     rows = [(i, " ".join(words(r, 150, 10**6) + (passage if i % 2 else near) + words(r, 120, 10**6))) for i in range(1, 41)] + [(i, " ".join(words(r, 300, 10**6))) for i in range(50, 90)]
     rows += [(200, rows[0][1]), (201, " ".join(words(r, 60, 10**6))), (202, " ".join(passage[:30]))]
     got = compact_windows.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {x.doc_id for x in got} == {*range(2, 41), 200} and {x.source_doc_id for x in got} <= set(range(1, 41))
-    assert any(x.doc_id == 200 and x.source_doc_id == 1 and x.n_words == 340 for x in got)
-    assert all(x.similarity >= 0.8 for x in got)
+    passages = [x for x in got if x.kind == "passage"]
+    assert {x.doc_id for x in passages} == set(range(1, 41)) and {(x.class_doc_id, x.class_begin_word) for x in passages} == {(1, 150)}
+    assert {(x.doc_id, x.class_doc_id, x.n_words) for x in got if x.kind == "text"} == {(200, 1, 340), (1, 1, 340)}
+    assert all(x.similarity >= 0.8 and x.n_links > 0 and 65 <= x.n_words <= 75 for x in passages)
     assert compact_windows.repeated_passages(odd).where("doc_id < 6").count() == 0 and compact_windows.repeated_passages(none).count() == 0
 
 
+def linked(rows, least=46, percent=80):
+    """All pairs of texts with a verified passage, by comparing all."""
+    sets = [compact_windows.shingles(h, 5) for _, h in tokens.token_hashes([t for _, t in rows])]
+    return {(a, b) for b, a in combinations(range(len(rows)), 2) if compact_windows.passages(sets[a], sets[b], least, percent)}
+
+
 def test_op9_near_passages_in_large_buckets(spark):
     r = random.Random(13)
     phrase, rows = words(r, 40, 10**6), []
@@ -240,10 +255,30 @@ def test_op9_near_passages_in_large_buckets(spark):
         tail = words(r, 9, 10**6)
         for k in (2 * i, 2 * i + 1):
             rows.append((k, " ".join(words(r, 40, 10**6) + phrase + [f"changed{k}"] + tail + words(r, 40, 10**6))))
-    got = {(x.doc_id, x.source_doc_id) for x in compact_windows.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    sets = [compact_windows.shingles(h, 5) for _, h in tokens.token_hashes([t for _, t in rows])]
-    want = {(a, b) for b, a in combinations(range(80), 2) if compact_windows.passages(sets[a], sets[b], 46, 80)}
-    assert want == {(2 * i + 1, 2 * i) for i in range(40)} == got
+    got = {(x.doc_id, x.class_doc_id) for x in compact_windows.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = linked(rows)
+    assert want == {(2 * i + 1, 2 * i) for i in range(40)}
+    assert len(got & want) >= 0.9 * len(want) and got <= want | {(2 * i, 2 * i) for i in range(40)}
+
+
+def test_op9_recall_in_groups_of_ten_hundred_and_thousand(spark):
+    """Recall against all pairs: those of one class among the pairs that share a verified passage, none of whose members are equal."""
+    r, rows, groups = random.Random(21), [], []
+    for size, length in ((10, 60), (10, 90), (100, 90), (1000, 90)):
+        passage = words(r, length, 10**6)
+        first = len(rows)
+        for _ in range(size):
+            near = list(passage)
+            near[r.randrange(5, length - 5)] = f"edit{len(rows)}"
+            rows.append((len(rows), " ".join(words(r, 30, 10**6) + near + words(r, 30, 10**6))))
+        groups.append((first, len(rows)))
+    got = {x.doc_id: (x.class_doc_id, x.class_begin_word) for x in compact_windows.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for first, last in groups:
+        pick = rows[first:last] if last - first <= 100 else r.sample(rows[first:last], 100)
+        want = {(pick[a][0], pick[b][0]) for a, b in linked(pick)}
+        together = sum(a in got and got[a] == got.get(b) for a, b in want)
+        assert len(want) >= 5 and together >= 0.9 * len(want)
+    assert not any(got.get(a) == got.get(b) for (a, _), (b, _) in combinations(groups, 2) if a in got)
 
 
 def test_op9_rare_places_meet_every_match():

@@ -2,19 +2,21 @@
 
 A text is a sequence of hashed 5-word shingles. Under a hash function, all stretches of it that contain position c, lie
 between l and r and have their least hash at c share one signature: (l, c, r) is a compact window, a node of the
-Cartesian tree over the hashes. Only nodes at least as wide as the shortest passage matter. They are the runs of
-equal minima over a sliding window of that width, so all of them are read off with a few vectorised
-minima; ``cartesian_windows`` builds the tree itself, and the tests hold the two against each other.
-
-A passage contains the centre of a compact window and reaches at least half its shortest length to one side of it. So each centre
-gives two keys: its hash with the least hashes of further functions over the half passage from it to the right, and over the one
-to the left. Passages that are equal share a key under every first function, similar ones under some. In each bucket of
-equal keys the members are compared with the smallest text. Members that share no verified passage with it there
-are compared pair by pair if few are left; else (a frequent phrase shorter than a passage) they are dealt anew, by single shingles.
-A passage leaves few shingles of a window unmatched, so one of the rarest few of each window is in both texts: the windows
-around the signature are looked up by those, in the whole texts of the others. A text that shares a verified passage there is settled, as before; none is dropped unsettled. Where a shingle still has many texts, they are
-compared with a growing number of the smallest ones until few are left. A passage is verified by its shingles: Jaccard similarity at
-least ``percent``. Identical texts are put behind one representative first.
+Cartesian tree over the hashes. Of the stretches only those of the shortest passage's width matter: a node groups those that
+start from max(l, c - width + 1) to min(c, r - width + 1). These intervals are the runs of equal minima over a sliding window, so those of all functions are
+read off with a few vectorised minima; ``cartesian_windows`` builds the tree itself, and the tests hold the two against each other.
+
+Functions are taken in bands. The intervals of the functions of a band are joined in each text: a cell (lo, hi) holds the
+starts at which all of them agree on one tuple of signatures, and cells of different texts meet by equality of the tuple. A pair of windows of Jaccard similarity s
+agrees in a band of two functions with probability s ** 2, in one of the four bands at 0.8 with 0.98, and a passage longer than the shortest has many windows.
+
+The members of a bucket are compared with its smallest text; a passage is verified by its shingles: Jaccard similarity at least ``percent``.
+Cells that no verified passage covers, often those of a frequent phrase shorter than a passage, are looked up by single shingles:
+a passage leaves few shingles of a window unmatched, so one of the rarest few of each window is in both texts. Each such shingle's texts are compared with a
+growing number of the smallest ones until every one is settled by a verified passage or has met all others. There is one way for
+buckets of every size, and no text is dropped unsettled. Identical texts are put behind one representative first.
+
+Verified passages are joined into classes: the passages of a text that overlap are one member, and a class is a connected component of members.
 """
 
 from __future__ import annotations
@@ -26,13 +28,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, only, without
+from .common import components, cut, discard, only, without
 from .tokens import scramble, shingles, token_hashes
 
 WIDTH = 5
-#: Buckets up to this size are compared pair by pair; larger ones are dealt anew by their rare shingles, and
-#: what is still larger there is compared with 1, then GROWTH, then GROWTH ** 2 .. of its members.
-SMALL, GROWTH = 32, 8
+#: Functions of a band, bands.
+FUNCTIONS, BANDS = 2, 4
+#: What is not settled is compared with 1, then GROWTH, then GROWTH ** 2 .. of the texts that have its rare shingle.
+GROWTH = 8
 #: Characters of the texts that are compared at a time.
 SLICE = 1 << 21
 #: Keys that a task holds before it hands them on.
@@ -52,61 +55,58 @@ def cartesian_windows(h: np.ndarray, least: int) -> list[tuple[int, int, int]]:
 
 
 def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
-    """The minimum of each window of ``width`` positions, by doubling."""
-    span, m = 1, h
+    """The minimum of each window of ``width`` positions of the last axis, by doubling."""
+    span, m, n = 1, h, h.shape[-1]
     while span * 2 <= width:
-        m = np.minimum(m[:-span], m[span:])
+        m = np.minimum(m[..., :-span], m[..., span:])
         span *= 2
-    return np.minimum(m[: len(h) - width + 1], m[width - span : width - span + len(h) - width + 1])
-
-
-def signatures(s: np.ndarray, least: int, groups: int, functions: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the text in each of ``groups`` groups of functions, and the first place of each.
-
-    They are those of half passages at the centres of the compact windows, and the places their starts.
-    """
-    half = least // 2
-    keys, places = [], []
-    for p in range(groups):
-        h = scramble(s, 100 * p)
-        low = sliding_min(h, least)
-        turn = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
-        centre = np.unique(turn + np.lib.stride_tricks.sliding_window_view(h, least)[turn].argmin(1))
-        key = [h[centre], h[centre] + np.uint64(1)]
-        sides = [np.minimum(centre, len(s) - half), np.maximum(centre - half + 1, 0)]
-        inside = [centre + half <= len(s), centre - half + 1 >= 0]
-        for i in range(functions):
-            m = sliding_min(scramble(s, 100 * p + 1 + i + 1000 * functions), half)
-            key = [k * np.uint64(0x100000001B3) + m[at] for k, at in zip(key, sides, strict=True)]
-        both = np.concatenate([k[ok] for k, ok in zip(key, inside, strict=True)])
-        k, first = np.unique(scramble(both, 57 + p), return_index=True)
-        keys.append(k)
-        places.append(np.concatenate([at[ok] for at, ok in zip(sides, inside, strict=True)])[first])
-    return np.concatenate(keys), np.concatenate(places)
-
-
-def _signed(least: int, groups: int):
-    def rows(ids: list, keys: list, places: list) -> pd.DataFrame:
-        doc = np.repeat(np.array(ids, np.int64), [len(k) for k in keys])
-        return pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "doc": doc, "place": np.concatenate(places).astype(np.int32)})
+    return np.minimum(m[..., : n - width + 1], m[..., width - span : width - span + n - width + 1])
+
+
+def minima(s: np.ndarray, least: int) -> np.ndarray:
+    """A row per function: its least hash in the window at each start. Equal neighbours are the starts of one compact window."""
+    salts = scramble(np.arange(1, FUNCTIONS * BANDS + 1, dtype=np.uint64), 91)[:, None]
+    return sliding_min(scramble(s[None, :] ^ salts), least)
+
+
+def cells(s: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(key, lo, hi)``: the intervals of starts on which the compact windows of all functions of a band meet."""
+    low = minima(s, least)
+    turns = low[:, 1:] != low[:, :-1]
+    keys, los, his = [], [], []
+    for b in range(BANDS):
+        own = slice(b * FUNCTIONS, (b + 1) * FUNCTIONS)
+        lo = np.concatenate(([0], np.flatnonzero(turns[own].any(0)) + 1))
+        key = np.zeros(len(lo), np.uint64)
+        for v in low[own][:, lo]:
+            key = scramble(key * np.uint64(0x100000001B3) + v, 57 + b)
+        keys.append(key)
+        los.append(lo)
+        his.append(np.append(lo[1:] - 1, low.shape[1] - 1))
+    return np.concatenate(keys), np.concatenate(los), np.concatenate(his)
+
+
+def _signed(least: int):
+    def rows(ids: list, found: list) -> pd.DataFrame:
+        key, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
+        doc = np.repeat(np.array(ids, np.int64), [len(k) for k, *_ in found])
+        return pd.DataFrame({"key": key.view(np.int64), "doc": doc, "lo": lo.astype(np.int32), "hi": hi.astype(np.int32)})
 
     def run(frames):
         for pdf in frames:
-            ids, keys, places, held = [], [], [], 0
+            ids, found, held = [], [], 0
             for i, h in token_hashes(pdf["text"].tolist()):
                 s = shingles(h, WIDTH)
                 if len(s) < least:
                     continue
-                k, at = signatures(s, least, groups)
                 ids.append(pdf["doc_id"].iat[i])
-                keys.append(k)
-                places.append(at)
-                held += len(k)
+                found.append(cells(s, least))
+                held += len(found[-1][0])
                 if held > KEYS:
-                    yield rows(ids, keys, places)
-                    ids, keys, places, held = [], [], [], 0
+                    yield rows(ids, found)
+                    ids, found, held = [], [], 0
             if ids:
-                yield rows(ids, keys, places)
+                yield rows(ids, found)
 
     return run
 
@@ -145,8 +145,8 @@ def _probes(least: int, percent: int):
                 order = np.argsort(shared)
                 at = np.minimum(np.searchsorted(shared, s, sorter=order), len(shared) - 1)
                 count = np.where(shared[order][at] == s, np.array(pdf["counts"].iat[i], np.int64)[order][at], 1)
-                spans = [np.arange(max(0, p - least + 1), min(len(s) - least, p + least // 2 - 1) + 1) for p in pdf["places"].iat[i]]
-                at = rare_places(count, np.unique(np.concatenate(spans)), least, percent)
+                starts = np.unique(np.concatenate([np.arange(x["lo"], x["hi"] + 1) for x in pdf["cells"].iat[i]]))
+                at = rare_places(count, starts, least, percent)
                 if len(at):
                     yield pd.DataFrame({"key": s[at].view(np.int64), "doc": pdf["doc_id"].iat[i], "place": at.astype(np.int32)})
 
@@ -241,74 +241,98 @@ def _compared(pdf: pd.DataFrame, least: int, percent: int) -> list[tuple]:
 
 
 def repeated_passages(
-    docs: DataFrame, min_words: int = 50, percent: int = 80, groups: int = 3, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, min_words: int = 50, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """Passages of at least ``min_words`` words that an earlier document (smaller id) has too, with their source.
+    """Classes of passages of at least ``min_words`` words that several documents have, a row per member.
 
-    A row per verified passage of a document in the source it was compared with. Of identical texts all but the smallest id refer whole to it, and
-    only that one is compared with other texts. Null and shorter texts have no passages. Rows without an id are not searched;
-    repeated rows count once. An empty table gives no rows. Other columns are ignored.
+    ``kind`` is 'passage' or, for identical whole texts, 'text'. A member is a stretch of a document (``begin_word``, ``n_words``); its class is named by the
+    first one, ``class_doc_id`` and ``class_begin_word`` (itself for the first). ``n_links`` counts the members of other texts that it
+    was verified against, ``similarity`` is the largest of theirs; both are null for a text. Of identical texts only the smallest id is compared with other texts.
+    Null and shorter texts have no passages; very long ones are searched whole. Rows without an id are not searched; repeated rows count once. Ties of
+    equal passages go to the smaller id and place. An empty table gives no rows. Other columns are ignored.
     """
+    verified, copies = links(docs, min_words, percent, id_col, text_col)
+    rows = verified.select("doc_id", "begin_word", (F.col("begin_word") + F.col("n_words")).alias("end"), "source_doc_id", "source_begin_word", (F.col("source_begin_word") + F.col("source_n_words")).alias("source_end"), "similarity")
+    # places of a text are summed up before they meet, so a source of very many texts is as many rows as it has places
+    places = rows.select(F.col("doc_id").alias("doc"), F.col("begin_word").alias("at"), "end").union(rows.select("source_doc_id", "source_begin_word", "source_end"))
+    places = places.groupBy("doc", "at").agg(F.max("end").alias("end"))
+    before = Window.partitionBy("doc").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    opens = F.when(F.col("at") < F.max("end").over(before), None).otherwise(F.col("at"))
+    places = places.withColumn("opens", opens).withColumn("begin", F.last("opens", ignorenulls=True).over(Window.partitionBy("doc").orderBy("at")))
+    places = cut(places.select("doc", "at", "end", F.struct("doc", "begin").alias("member")), "places")
+    named = lambda doc, at, name: places.select(F.col("doc").alias(doc), F.col("at").alias(at), F.col("member").alias(name))
+    edges = cut(rows.join(named("doc_id", "begin_word", "a"), ["doc_id", "begin_word"]).join(named("source_doc_id", "source_begin_word", "b"), ["source_doc_id", "source_begin_word"]).groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "edges")
+    found = components(edges, "a", "b")
+    degree = edges.select(F.col("a").alias("id"), "similarity").union(edges.select("b", "similarity")).groupBy("id").agg(F.count("*").alias("n_links"), F.max("similarity").alias("similarity"))
+    members = places.groupBy(F.col("member").alias("id")).agg((F.max("end") - F.min("at")).alias("n_words")).join(found, "id").join(degree, "id")
+    members = members.select(F.lit("passage").alias("kind"), F.col("id.doc").alias("doc_id"), F.col("id.begin").alias("begin_word"), "n_words", F.col("component.doc").alias("class_doc_id"), F.col("component.begin").alias("class_begin_word"), "n_links", "similarity")
+    copies = copies.where(F.col("n") >= min_words)
+    copied = copies.select("doc_id", "n", "rep").union(copies.groupBy("rep").agg(F.max("n").alias("n")).select("rep", "n", "rep"))
+    zero, none = F.lit(0).cast("long"), F.lit(None)
+    return members.union(copied.select(F.lit("text"), "doc_id", zero, "n", "rep", zero, none.cast("long"), none.cast("double")))
+
+
+def links(docs: DataFrame, min_words: int = 50, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The verified passages between different texts (a row each, the columns of ``PASSAGES``), and the copies ``(doc_id, rep, n)``."""
     least = min_words - WIDTH + 1
     docs = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ids = cut(docs.select("doc_id", F.md5("text").alias("h"), F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")).cast("long").alias("n")), "ids")
     first = ids.groupBy("h").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
     copies = cut(ids.join(first, "h").where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("n").alias("n")), "copies")
-
-    same = Window.partitionBy("key")
-    pick = lambda r: r.withColumns({"pivot": F.min("doc").over(same), "last": F.max("doc").over(same), "m": F.count("*").over(same)}).where("pivot <> last").drop("last")
     found: list[DataFrame] = []
     tested: list[DataFrame] = []
     whole = lambda tables: functools.reduce(DataFrame.union, tables)
+    covers = lambda least: F.greatest("lo", F.col("begin_word") - least // 2) <= F.least("hi", F.col("end") - (least - least // 2))
+    hold = lambda a, b: whole(found).select(F.col("doc_id").alias(a), F.col("source_doc_id").alias(b), "begin_word", (F.col("begin_word") + F.col("n_words") - WIDTH + 1).alias("end"), "similarity")
 
     def verify(pairs: DataFrame) -> None:
         pairs = cut(pairs.join(whole(tested), ["a", "b"], "left_anti") if tested else pairs, "pairs")
+        tested.append(pairs)
         if found and pairs.isEmpty():
             return
         wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
         texts = cut(only(docs, wanted, "doc_id"), "texts")
         wide = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
         wide = wide.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-        tested.append(pairs)
         found.append(cut(wide.mapInPandas(_verify(least, percent), PASSAGES), "passages"))
+        discard(wanted, texts)
 
-    def turn(left: DataFrame) -> DataFrame:
-        """Compares with the pivots; the rows whose signature lies in no verified passage shared with theirs."""
-        verify(left.where("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct())
-        hold = whole(found).select(F.col("doc_id").alias("doc"), F.col("source_doc_id").alias("pivot"), "begin_word", (F.col("begin_word") + F.col("n_words")).alias("end"))
-        settled = left.join(hold, ["doc", "pivot"]).where((F.col("place") < F.col("end")) & (F.col("place") + least // 2 > F.col("begin_word"))).select("key", "doc").distinct()
-        rest = left.where("doc <> pivot").join(settled, ["key", "doc"], "left_anti").select("key", "doc", "place")
-        return cut(pick(rest), "rest")
-
-    def deal(many: DataFrame) -> None:
-        """Compares the rests of large buckets: texts that share one of the rarest shingles of a window around a signature."""
-        texts = cut(only(docs, many.select("doc_id"), "doc_id").dropDuplicates(["doc_id"]), "texts")
+    # counts and the smallest id are summed before they are shuffled: a signature that a third of all texts has is no hot row
+    pool = without(docs, copies.select("doc_id"), "doc_id")
+    signed = cut(pool.mapInPandas(_signed(least), "key long, doc long, lo int, hi int"), "signed")
+    groups = cut(signed.groupBy("key").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last")).where("pivot <> last").drop("last"), "groups")
+    shared = cut(signed.join(groups, "key").where("doc <> pivot"), "shared")
+    discard(signed)
+    verify(shared.select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct())
+    covered = shared.join(hold("doc", "pivot"), ["doc", "pivot"]).where(covers(least)).groupBy("key", "doc", "lo").agg(F.max("similarity").alias("similarity"))
+    state = cut(shared.join(covered, ["key", "doc", "lo"], "left"), "state")
+    rest = state.where("similarity is null")
+    open_keys = rest.groupBy("key").agg(F.count("*").alias("c")).drop("c")
+    # a text that is near to the smallest one, but not equal, can still be near to one that is not
+    near = state.where("similarity < 1").join(open_keys, "key", "left_semi").select("doc")
+    probing = cut(rest.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct("lo", "hi")).alias("cells")), "probing")
+    if not probing.isEmpty():
+        others = cut(near.select(F.col("doc").alias("doc_id")).distinct().join(probing, "doc_id", "left_anti"), "others")
+        texts = cut(only(docs, cut(probing.select("doc_id").union(others), "wanted"), "doc_id").dropDuplicates(["doc_id"]), "texts")
         index = cut(texts.mapInPandas(_distinct, "key long, doc long, place int"), "index")
-        common = index.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+        common = cut(index.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "common")
         index = cut(index.join(common, "key"), "common")
         counts = index.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("key").alias("shared"), F.collect_list("c").alias("counts"))
-        probes = cut(texts.join(many, "doc_id").join(counts, "doc_id").mapInPandas(_probes(least, percent), "key long, doc long, place int"), "probes")
-        others = index.join(probes.select("key").distinct(), "key", "left_semi").join(probes, ["key", "doc"], "left_anti")
-        rows = probes.withColumn("probe", F.lit(True)).union(others.select("key", "doc", "place", F.lit(False)))
-        ranked = lambda r: r.withColumn("r", F.dense_rank().over(same.orderBy("doc"))).withColumns({"m": F.max("r").over(same), "last": F.max(F.when(F.col("probe"), F.col("doc"))).over(same), "pivot": F.min("doc").over(same)}).where("last > pivot").drop("last", "pivot")
-        rows, pivots = cut(ranked(rows), "dealt"), 1
-        while not rows.isEmpty():
-            sources = rows.where((F.col("r") <= pivots) | (F.col("m") <= SMALL)).select("key", F.col("doc").alias("b")).distinct()
-            pairs = rows.where("probe").select("key", F.col("doc").alias("a"), "place").join(sources, "key").where("a > b")
-            verify(pairs.select("a", "b").distinct())
-            hold = whole(found).select(F.col("doc_id").alias("a"), F.col("source_doc_id").alias("b"), "begin_word", (F.col("begin_word") + F.col("n_words")).alias("end"))
-            rest = rows.where((F.col("r") > pivots) & (F.col("m") > SMALL)).drop("r", "m")
-            settled = pairs.join(hold, ["a", "b"]).where((F.col("place") < F.col("end")) & (F.col("place") >= F.col("begin_word"))).select("key", F.col("a").alias("doc"), "place").distinct()
-            rows, pivots = cut(ranked(rest.join(settled, ["key", "doc", "place"], "left_anti")), "rest"), pivots * GROWTH
-
-    pool = without(docs, copies.select("doc_id"), "doc_id")
-    left = turn(cut(pick(pool.mapInPandas(_signed(least, groups), "key long, doc long, place int")), "shared"))
-    few = left.where(F.col("m") <= SMALL).select("key", "doc")
-    pairs = few.select("key", F.col("doc").alias("a")).join(few.select("key", F.col("doc").alias("b")), "key").where("a > b")
-    verify(pairs.select("a", "b").distinct())
-    many = cut(left.where(F.col("m") > SMALL).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("place").alias("places")), "many")
-    if not many.isEmpty():
-        deal(many)
-
-    copied = copies.where(F.col("n") >= min_words).select("doc_id", F.lit(0).cast("long").alias("begin_word"), F.col("n").alias("n_words"), F.col("rep").alias("source_doc_id"), F.lit(0).cast("long").alias("source_begin_word"), F.col("n").alias("source_n_words"), F.lit(1.0).alias("similarity"))
-    return whole([*found, copied]).distinct()
+        probes = cut(texts.join(probing, "doc_id").join(counts, "doc_id").mapInPandas(_probes(least, percent), "key long, doc long, place int"), "probes")
+        members = cut(index.join(probes.select("key").distinct(), "key", "left_semi").select("key", "doc").distinct(), "members")
+        discard(texts, index, common)
+        pivots = 1
+        while not probes.isEmpty():
+            rank = F.row_number().over(Window.partitionBy("key").orderBy("doc"))  # limited before the shuffle, too
+            smallest = members.withColumn("r", rank).where(F.col("r") <= pivots).select("key", F.col("doc").alias("b"))
+            pairs = cut(probes.withColumnRenamed("doc", "a").join(smallest, "key").where("a <> b"), "probed")
+            verify(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+            mirror = whole(found).select("source_doc_id", "doc_id", "source_begin_word", F.col("source_begin_word") + F.col("source_n_words") - WIDTH + 1, "similarity")
+            both = hold("a", "b").union(mirror)
+            settled = pairs.join(both, ["a", "b"]).where((F.col("place") < F.col("end")) & (F.col("place") >= F.col("begin_word"))).select("key", F.col("a").alias("doc"), "place").distinct()
+            more = members.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > pivots).select("key")
+            probes = cut(probes.join(settled, ["key", "doc", "place"], "left_anti").join(more, "key", "left_semi"), "left")
+            members = cut(members.join(probes.select("key").distinct(), "key", "left_semi"), "members")
+            discard(pairs)
+            pivots *= GROWTH
+    return whole(found).distinct(), copies
