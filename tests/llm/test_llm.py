@@ -62,6 +62,19 @@ def test_op2_binomial_is_exact():
     assert quality_rules.binomial_tail(3, 10, 0.5) == pytest.approx(176 / 1024)
 
 
+def test_op2_joint_false_rejection_by_simulation():
+    """Four of the five rules reject other good documents, each under the limit alone; the verdict of all may go over it in at most 5% of the draws."""
+    r, n, over = np.random.default_rng(7), 5000, 0
+    rates = np.cumsum([0.004, 0.004, 0.004, 0.004, 0.003, 0.003, 0.01, 0.02])  # what all rules of a step reject
+    for _ in range(2000):
+        fired = r.random(n)[:, None] < rates
+        step = quality_rules.certified(fired.sum(0).tolist(), n, 0.02, 0.05 / 3)
+        over += step is not None and rates[step] > 0.02
+    assert over <= 0.05 * 2000
+    assert quality_rules.certified([0] * 8, 10, 0.02, 0.05 / 3) is None and quality_rules.certified([0, 0, 90], 1000, 0.02, 0.05 / 3) == 1
+    assert all(len(g) == quality_rules.STEPS for g in quality_rules.GRID.values())
+
+
 def test_op6_mix_targets_and_limits(spark, odd, none):
     r = random.Random(1)
     rows = [(i, " ".join(words(r, r.randrange(1, 200))), r.choice("aaaaaabbc"), None) for i in range(400)]
@@ -98,6 +111,20 @@ def test_op8_bijection_coreference_and_format(spark, odd, none):
     assert pii.surrogates(none, "key").count() == 0
 
 
+def test_op8_short_values_names_and_clashes(spark):
+    mails = [chr(97 + i) + "@mail.com" for i in range(26)]
+    rows = [(i, f"write to {m} now", "f", 1) for i, m in enumerate(mails)]
+    rows += [(100, "Mrs Anna Smith met Bob Jones. Later Smith left; Anna Smith agreed.", "f", 1), (101, "call +1 212 555 1234 or +12125551234", "f", 1), (102, "- GB29 NWBK 6016 1331 9268 19 and -x.y@mail.com", "f", 1)]
+    out = {x.doc_id: x for x in pii.surrogates(spark.createDataFrame(rows, "doc_id long, text string, __found string, __row int"), "key").collect()}
+    got = [out[i].text.split()[2] for i in range(26)]
+    assert len(set(got)) == 26 and not set(got) & set(mails) and out[0]["__found"] == "f"
+    said = re.fullmatch(r"Mrs (\w+) (\w+) met Bob Jones\. Later (\w+) left; (\w+) (\w+) agreed\.", out[100].text)
+    assert said and said[2] == said[3] == said[5] and said[1] == said[4] and not {"Anna", "Smith"} & set(said.groups())
+    one, two = re.findall(r"\+[\d ]*\d", out[101].text)
+    assert one.replace(" ", "") == two and two != "+12125551234"
+    assert "6016 1331" not in out[102].text and "x.y@mail" not in out[102].text
+
+
 def brute_components(texts, width, percent):
     sets = {}
     for i, t in texts.items():
@@ -325,6 +352,17 @@ def test_op7_blocks_and_article(spark):
     assert all(x.n_chars == len(x.text) for x in got)
 
 
+def test_op7_optional_and_unclosed_tags():
+    page = "<html><head><title>t</title>{}<body><article><h1>Title</h1><p>Body <svg/>text, <svg><title>no</title></svg>more.</p><p>Last.</p></article>{}"
+    want = ["Title", "Body text, more.", "Last."]
+    assert [b.text for b in html_lstm.blocks(page.format("</head>", ""))] == [b.text for b in html_lstm.blocks(page.format("", ""))] == want
+    assert [b.text for b in html_lstm.blocks(page.format("", "<object><p>after"))] == [*want, "after"]
+    assert [b.text for b in html_lstm.blocks("<header-x>a</header-x><head-x>b</head-x>")] == ["a", "b"]
+    long = html_lstm.blocks("<p>" + "word " * 50 + "</p><p>" + "other " * 50 + "</p>")
+    v = html_lstm.vectors(long)[:, html_lstm.PATH + html_lstm.ATTRS : -html_lstm.SHAPE]
+    assert v.sum(1) == pytest.approx(3.0, abs=0.7) and (v[0] != v[1]).any()
+
+
 def test_op7_gradient_and_held_out_pages():
     r = np.random.default_rng(4)
     net = html_lstm.Labeller(hidden=3)
@@ -404,3 +442,18 @@ def test_pipeline_stages_against_their_operators(spark):
     bench = [x.text for x in spark.read.parquet(f"{D}/benchmark.parquet").collect()]
     assert not any(b in x.text for x in clean.collect() for b in bench)
     assert "taken" in cp.mixture(spark, clean, D).columns
+
+
+def test_pipeline_mixture_keeps_rows_apart(spark, odd, none):
+    import corpus_pipeline as cp
+
+    rows = [(1, "a b c d e f g h " * 4, "s"), (1, "a b c d e f g h " * 4, "s"), (None, "a b c d e f g h " * 4, "s"), (3, "a b c d e f g h " * 4, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("row", F.lit("x")).withColumn("size", F.lit("y"))
+    out = cp.mixture(spark, docs, D).collect()
+    assert sorted(str(x.doc_id) for x in out) == ["1", "1", "3", "None"] and {x["row"] for x in out} == {"x"} and {x["size"] for x in out} == {32}
+    assert sum(x.taken for x in out) == 128
+    for docs in (odd, none):
+        for _, stage in cp.STAGES[:-1]:
+            after = stage(spark, docs, D)
+            assert after.columns == docs.columns and after.count() <= docs.count()
+        cp.mixture(spark, docs, D).count()

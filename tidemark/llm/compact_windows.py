@@ -116,12 +116,22 @@ def _needed(least: int, percent: int) -> int:
     return int(np.ceil(2 * percent / (100 + percent) * least - 1e-9))
 
 
-def _distinct(frames):
-    """The shingles of each text and the first place of each."""
-    for pdf in frames:
-        for i, h in token_hashes(pdf["text"].tolist()):
-            s, first = np.unique(shingles(h, WIDTH), return_index=True)
-            yield pd.DataFrame({"key": s.view(np.int64), "doc": pdf["doc_id"].iat[i], "place": first.astype(np.int32)})
+def _distinct(least: int):
+    """The shingles in and near the windows of the cells of each text, and the first place of each."""
+
+    def run(frames):
+        for pdf in frames:
+            for i, h in token_hashes(pdf["text"].tolist()):
+                s = shingles(h, WIDTH)
+                inside = np.zeros(len(s) + 1, np.int32)
+                for x in (*pdf["cells"].iat[i], *pdf["near"].iat[i]):
+                    inside[max(0, x["lo"] - least // 4)] += 1
+                    inside[min(len(s), x["hi"] + least + least // 4)] -= 1
+                at = np.flatnonzero(np.cumsum(inside[:-1]))
+                found, first = np.unique(s[at], return_index=True)
+                yield pd.DataFrame({"key": found.view(np.int64), "doc": pdf["doc_id"].iat[i], "place": at[first].astype(np.int32)})
+
+    return run
 
 
 def rare_places(count: np.ndarray, starts: np.ndarray, least: int, percent: int) -> np.ndarray:
@@ -306,19 +316,23 @@ def links(docs: DataFrame, min_words: int = 50, percent: int = 80, id_col: str =
     verify(shared.select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct())
     covered = shared.join(hold("doc", "pivot"), ["doc", "pivot"]).where(covers(least)).groupBy("key", "doc", "lo").agg(F.max("similarity").alias("similarity"))
     state = cut(shared.join(covered, ["key", "doc", "lo"], "left"), "state")
-    rest = state.where("similarity is null")
-    open_keys = rest.groupBy("key").agg(F.count("*").alias("c")).drop("c")
+    # two texts that met alone have met all others of their bucket
+    several = F.col("first") != F.col("last")
+    buckets = state.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count_if(F.col("similarity").isNull()).alias("c")).where(several & (F.col("c") > 0)).select("key")
+    open_keys = cut(buckets, "open")
+    rest = state.where("similarity is null").join(open_keys, "key", "left_semi")
     # a text that is near to the smallest one, but not equal, can still be near to one that is not
-    near = state.where("similarity < 1").join(open_keys, "key", "left_semi").select("doc")
-    probing = cut(rest.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct("lo", "hi")).alias("cells")), "probing")
-    if not probing.isEmpty():
-        others = cut(near.select(F.col("doc").alias("doc_id")).distinct().join(probing, "doc_id", "left_anti"), "others")
-        texts = cut(only(docs, cut(probing.select("doc_id").union(others), "wanted"), "doc_id").dropDuplicates(["doc_id"]), "texts")
-        index = cut(texts.mapInPandas(_distinct, "key long, doc long, place int"), "index")
+    near = state.where("similarity < 1").join(open_keys, "key", "left_semi").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct("lo", "hi")).alias("near"))
+    probing = rest.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct("lo", "hi")).alias("cells"))
+    none = F.array().cast("array<struct<lo:int,hi:int>>")
+    spans = cut(probing.join(near, "doc_id", "full").select("doc_id", F.coalesce("cells", none).alias("cells"), F.coalesce("near", none).alias("near")), "spans")
+    if not spans.isEmpty():
+        texts = cut(only(docs, spans.select("doc_id"), "doc_id").dropDuplicates(["doc_id"]).join(spans, "doc_id"), "texts")
+        index = cut(texts.mapInPandas(_distinct(least), "key long, doc long, place int"), "index")
         common = cut(index.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "common")
         index = cut(index.join(common, "key"), "common")
         counts = index.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("key").alias("shared"), F.collect_list("c").alias("counts"))
-        probes = cut(texts.join(probing, "doc_id").join(counts, "doc_id").mapInPandas(_probes(least, percent), "key long, doc long, place int"), "probes")
+        probes = cut(texts.where(F.size("cells") > 0).join(counts, "doc_id").mapInPandas(_probes(least, percent), "key long, doc long, place int"), "probes")
         members = cut(index.join(probes.select("key").distinct(), "key", "left_semi").select("key", "doc").distinct(), "members")
         discard(texts, index, common)
         pivots = 1

@@ -25,9 +25,18 @@ WIDTH = PATH + ATTRS + WORDS + SHAPE
 #: Tags that do not end a block (fixed values).
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meta nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Tags whose content is never text of the page.
-SILENT = "script|style|noscript|template|iframe|object|svg|math|canvas|head"
-_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<({SILENT})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S | re.I)
+#: Tags whose content is never text of the page: raw ones run to the end of the page if they are not closed, the others only count where they are (fixed values).
+RAW, SILENT = "script|style", ("noscript", "template", "iframe", "object", "svg", "math", "canvas", "title")
+_INSIDE = r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*"
+
+
+@functools.lru_cache
+def _tags(closed: tuple[str, ...]) -> re.Pattern:
+    """Comments, silent elements (``closed`` are those whose end tag occurs in the page), declarations and tags."""
+    silent = rf"|<({'|'.join(closed)})(?![\w:-]){_INSIDE}(?<!/)>.*?</\2\s*>" if closed else "|(?!)()"
+    return re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})(?![\w:-]){_INSIDE}>.*?(?:</\1\s*>|\Z){silent}|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_INSIDE})(?:>|\Z)", re.S | re.I)
+
+
 _NAMED = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+|[0-9]+", re.I)
 _SPACES = re.compile(r"\s+")
@@ -35,6 +44,7 @@ _SPACES = re.compile(r"\s+")
 _CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 
 
+@functools.lru_cache(1 << 16)
 def bucket(word: str, size: int) -> int:
     return zlib.crc32(word.encode("utf-8", "replace")) % size
 
@@ -74,21 +84,22 @@ def blocks(page: str | None) -> list[Block]:
             if in_link:
                 linked += len(piece.strip())
 
-    for m in _TAG.finditer(page):
+    lower = page.lower()
+    for m in _tags(tuple(t for t in SILENT if f"</{t}" in lower)).finditer(page):
         say(page[at : m.start()])
         at = m.end()
-        name = m[3]
+        name = m[4]
         if name is None:
             continue
         name = name.lower()
         if name == "a":
-            in_link = 0 if m[2] else 1
-        if name in INLINE:
+            in_link = 0 if m[3] else 1
+        if name in INLINE or name in SILENT:
             if name == "br":
                 parts.append(" ")
             continue
         flush()
-        if m[2]:
+        if m[3]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
@@ -98,8 +109,8 @@ def blocks(page: str | None) -> list[Block]:
             ends = _CLOSES.get(name)
             while stack and ((ends and stack[-1][0] in ends) or stack[-1][0] == "p"):
                 stack.pop()
-            if name not in VOID and not m[4].rstrip().endswith("/"):
-                names = tuple(w.lower() for x in _NAMED.findall(m[4]) for w in _WORD.findall("".join(x))) if m[4] else ()
+            if name not in VOID and not m[5].rstrip().endswith("/"):
+                names = tuple(w.lower() for x in _NAMED.findall(m[5]) for w in _WORD.findall("".join(x))) if m[5] else ()
                 stack.append((name, names))
     say(page[at:])
     flush()
@@ -107,17 +118,18 @@ def blocks(page: str | None) -> list[Block]:
 
 
 def vectors(page: list[Block]) -> np.ndarray:
-    """A row of features per block."""
+    """A row of features per block: its whole tag path, all class words and all its words (those of a long block weigh less each)."""
     out = np.zeros((len(page), WIDTH), np.float32)
     for i, b in enumerate(page):
         v = out[i]
-        for d, tag in enumerate(reversed(b.path[-8:])):
+        for d, tag in enumerate(reversed(b.path)):
             v[bucket(tag, PATH)] += 1.0 if d < 2 else 0.6
-        for w in b.attrs[-12:]:
+        for w in b.attrs:
             v[PATH + bucket(w, ATTRS)] += 1.0
-        words = _WORD.findall(b.text[:400].lower()) if len(b.text) <= 120 else []
-        for w in words[:12]:
-            v[PATH + ATTRS + bucket(w, WORDS)] += 0.3
+        words = _WORD.findall(b.text.lower())
+        if words:
+            hashed = np.bincount([bucket(w, WORDS) for w in words], minlength=WORDS)
+            v[PATH + ATTRS : PATH + ATTRS + WORDS] = hashed * min(0.3, 3.6 / len(words))
         n, s = len(b.text), v[PATH + ATTRS + WORDS :]
         k = b.text.count(" ") + 1
         s[:] = (

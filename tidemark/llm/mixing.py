@@ -39,24 +39,28 @@ def apportion(df: DataFrame, group: list[str], key: str, total: str) -> DataFram
     base = F.transform("votes", lambda x: F.struct(x["k"].alias("k"), x["v"].alias("v"), x["cap"].alias("cap"), F.least(x["cap"], F.floor(x["v"] / F.col("d") + 0.5)).alias("n")))
     df = df.withColumn("base", base)
     left = F.col(total) - F.aggregate("base", F.lit(0).cast("long"), lambda n, x: n + x["n"])
-    order = F.array_sort(F.transform(F.filter("base", lambda x: x["n"] < x["cap"]), lambda x: F.struct((-(x["v"] / (x["n"] + 0.5))).alias("q"), x["k"].alias("k"))))
-    df = df.withColumn("more", F.transform(F.slice(order, F.lit(1), F.greatest(left, F.lit(0)).cast("int")), lambda x: x["k"]))
-    seats = F.transform("base", lambda x: F.struct(x["k"].alias(key), (x["n"] + F.when(F.array_contains("more", x["k"]), 1).otherwise(0)).alias("seats")))
+    quotient = lambda x: F.struct((-(x["v"] / (x["n"] + 0.5))).alias("q"), x["k"].alias("k"))
+    order = F.array_sort(F.transform(F.filter("base", lambda x: x["n"] < x["cap"]), quotient))
+    # one more seat goes to the keys up to the last that fits, found once and compared with each
+    df = df.withColumn("last", F.get(order, (F.least(left, F.size(order)) - 1).cast("int")))
+    one = lambda x: F.when((F.col("last").isNotNull()) & (x["n"] < x["cap"]) & (quotient(x) <= F.col("last")), 1).otherwise(0)
+    seats = F.transform("base", lambda x: F.struct(x["k"].alias(key), (x["n"] + one(x)).alias("seats")))
     return df.select(*group, F.inline(seats))
 
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple[int, ...] = (5, 2, 1), repeat: int = 3, block: int = 8, shard_docs: int = 20_000, seed: str = "mix",
+    weights: tuple[int, ...] = (5, 2, 1), repeat: int = 3, block: int = 8, shard_docs: int = 20_000, seed: str = "mix", row_col: str | None = None,
 ) -> DataFrame:
-    """``(doc_id, size, source, source_size, target, taken)`` for every row of ``docs``.
+    """``(doc_id, size, source, source_size, target, taken)`` for every row of ``docs``, and ``row_col``, a key of rows, if one is given.
 
     Null and empty texts have size 0 and are never taken; a null source is a source of its own, the last. An
     empty table gives no rows. Rows with equal ids and sizes are interchangeable. Other columns are ignored.
     Only the table of sources (one row per distinct source) passes through single-row steps.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
+    keys = [row_col] if row_col else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *keys)
     rows = cut(rows.withColumn("sk", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t"))), "sizes")
 
     src = rows.groupBy("sk").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
@@ -86,12 +90,12 @@ def mix(
     per_shard = apportion(lists.join(quota, "sk"), ["sk"], "shard", "seats").join(shard, ["sk", "shard"])
     per_shard = per_shard.select("sk", "shard", "shard_size", F.least(F.col("seats") * block, repeat * F.col("shard_size")).alias("quota"))
 
-    order = Window.partitionBy("sk", "shard").orderBy("ord", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("sk", "shard").orderBy("ord", "doc_id", "size", *keys).rowsBetween(Window.unboundedPreceding, -1)
     out = placed.withColumn("start", F.coalesce(F.sum("size").over(order), F.lit(0))).join(per_shard, ["sk", "shard"])
     full = F.coalesce(F.floor(F.col("quota") / F.nullif(F.col("shard_size"), F.lit(0))), F.lit(0))
     rest = F.col("quota") - full * F.col("shard_size")
     taken = full * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start")))
-    return out.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"))
+    return out.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"), *keys)
 
 
 def oracle(block: int = 8, repeat: int = 3, shard_docs: int = 20_000, seed: str = "mix") -> str:

@@ -19,9 +19,9 @@ TITLES_F = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Mlle", "Madame", "Señora", "Se
 TITLES_M = ("Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr")
 #: Kind, pattern. The order is the precedence at one position.
 KINDS = (
-    ("email", r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}][\p{L}\p{N}._%+\-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62})\.){1,8}[A-Za-z]{2,24}"),
+    ("email", r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+\-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62})\.){1,8}[A-Za-z]{2,24}"),
     ("secret", r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,64}|sk-[A-Za-z0-9]{20,64}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})(?![\p{L}\p{N}])"),
-    ("iban", r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){3,6}(?: ?[0-9]{1,3})?(?![\p{L}\p{N}])"),
+    ("iban", r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?=(?:[ A-Z]*[0-9]){9})(?: ?[0-9A-Z]{4}){3,6}(?: ?[0-9A-Z]{1,3})?(?![\p{L}\p{N}])"),
     ("ip", r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[\p{L}\p{N}])"),
     ("card", r"(?<![\p{L}\p{N}])(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3})(?![\p{L}\p{N}])"),
     ("ssn", r"(?<![\p{L}\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}\-])"),
@@ -136,7 +136,9 @@ def surrogate(e: Column, kind: Column, key: str, attempt: Column, hashed_only: b
     local, domain = F.substring_index(e, "@", 1), F.lower(F.substring_index(e, "@", -1))
     tail = F.substring_index(domain, ".", -1)
     host = _let(_hash(key, "domain", domain), lambda h: F.concat(F.lit("m"), F.translate(F.substring(h, 1, 9), "0123456789", "ghijklmnop"), F.lit(".example."), F.when(tail.isin("com", "net", "org"), tail).otherwise("org")))
-    email = F.concat(_reletter(F.lower(local), _hash(key, "email", F.lower(e), draw)), F.lit("@"), host)
+    # each further draw is two letters longer, so that short addresses cannot run out of surrogates
+    longer = _let(_hash(key, "longer", F.lower(e), draw), lambda h: F.translate(F.substr(h, F.lit(1), F.least(2 * attempt, F.lit(40))), "0123456789", "ghijklmnop"))
+    email = F.concat(_reletter(F.lower(local), _hash(key, "email", F.lower(e), draw)), longer, F.lit("@"), host)
     body = F.regexp_extract(e, r"^(?:sk-|AKIA|gh[pousr]_)?", 0)
     secret = F.when(F.regexp_like(e, F.lit("^[0-9a-f]+$")), F.substr(_hash(key, "secret", e, draw), F.lit(1), F.length(e))).otherwise(F.concat(body, _reletter(F.substr(e, F.length(body) + 1), _hash(key, "secret", e, draw))))
     title = F.regexp_extract(e, r"^\p{L}+\.? ", 0)
@@ -164,8 +166,8 @@ def surrogate(e: Column, kind: Column, key: str, attempt: Column, hashed_only: b
         head = F.substr(d, F.lit(1), F.length(d) - 1)
         return _let(permute_digits(head, key, "card"), lambda p: F.concat(p, ((F.substr(d, F.length(d), F.lit(1)).cast("int") + luhn_sum(head) - luhn_sum(p) + 10) % 10).cast("string")))
 
-    # a leading + and country code stay: they tell the kind of number, not whose it is
-    code = F.regexp_extract(e, r"^\+[0-9]{1,3}(?=[ .\-(])", 0)
+    # a leading + and the first digit of the country code stay; what follows is one number, however it is written
+    code = F.regexp_extract(e, r"^\+[0-9]", 0)
     rest = F.substr(e, F.length(code) + 1)
     phone = F.concat(code, _refill(rest, permute_digits(F.regexp_replace(rest, r"[^0-9]", ""), key, F.concat(F.lit("phone"), code))))
     iban = F.concat(F.substring(e, 1, 2), _refill(F.substr(e, F.lit(3)), permute_digits(digits, key, F.concat(F.lit("iban"), F.substring(e, 1, 2)))))
@@ -178,10 +180,11 @@ def _found(text: Column) -> Column:
     return F.when(F.regexp_like(text, F.lit(r"[0-9@]|\b(?:" + "|".join(TITLES_F + TITLES_M) + r")\b")), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
 
 
-def _collisions(values: DataFrame, key: str, rounds: int = 20) -> DataFrame:
+def _collisions(values: DataFrame, key: str, rounds: int = 60) -> DataFrame:
     """``(kind, norm, attempt)`` of the values that must be drawn again; ``values`` has distinct ``(kind, norm)``.
 
-    Only kinds whose surrogates are hashed take part; the others are bijections.
+    Only kinds whose surrogates are hashed take part; the others are bijections. Values that still collide after
+    ``rounds`` draws are an error, not a result.
     """
     values = cut(values.where(F.col("kind").isin("email", "secret", "name")).withColumn("attempt", F.lit(0)), "values")
     moved = values.where("false")
@@ -194,40 +197,56 @@ def _collisions(values: DataFrame, key: str, rounds: int = 20) -> DataFrame:
         real = drawn.join(values.select("kind", F.lower("norm").alias("out")).distinct(), ["kind", "out"], "left_semi").select("kind", "norm", "attempt")
         fresh = cut(clash.union(real).distinct(), "clash")
         if fresh.isEmpty():
-            break
+            return moved
         again = fresh.withColumn("attempt", F.col("attempt") + 1)
         moved = cut(moved.join(again, ["kind", "norm"], "left_anti").union(again), "moved")
-    return moved
+    raise ValueError(f"surrogates still collide after {rounds} draws")
+
+
+def _bare(gap: Column, words: Column, new: Column) -> Column:
+    """The gap with later mentions of the ``words`` of titled names replaced, in one pass, by those of the map ``new``."""
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    between, mentions = F.split(gap, pattern, -1), F.regexp_extract_all(gap, pattern, F.lit(0))
+    return _let(between, lambda b: F.concat(F.array_join(F.zip_with(F.slice(b, F.lit(1), F.size(b) - 1), mentions, lambda g, m: F.concat(g, F.element_at(new, m))), ""), F.element_at(b, -1)))
 
 
 def surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``text_col`` rewritten and ``n_entities`` and ``entity_kinds`` (sorted, distinct) added.
 
-    Every input row comes out once, in any number of repeats. Null texts stay null, empty ones empty; both have 0 entities.
-    An empty table gives an empty result. Columns of ``docs`` named like the two new ones are replaced.
+    Supported forms are those of ``KINDS``; a person is found by a title, and the words of the name are then replaced wherever the document
+    has them. ``n_entities`` does not count these bare mentions. Every input row comes out once, in any number of repeats. Null texts stay null, empty ones empty; both have 0 entities.
+    An empty table gives an empty result. Columns of ``docs`` named like the two new ones are replaced, other names do not matter.
     The key decides all draws; one key gives one surrogate per value over all tables and runs.
     """
+    kept = [c for c in docs.columns if c not in ("n_entities", "entity_kinds")]
+    found, made, row, again, gone = (next(f"{x}{'_' * k}" for k in range(len(kept) + 2) if f"{x}{'_' * k}" not in kept) for x in ("__found", "__new", "__row", "__again", "__names"))
     entities = docs.select(F.explode(F.array_distinct(_found(F.col(text_col)))).alias("e"))
     typed = entities.select("e", kind_of(F.col("e")).alias("kind")).select("kind", normal(F.col("e"), F.col("kind")).alias("norm"))
     moved = cut(_collisions(typed.distinct(), key), "moved")
-    none = moved.isEmpty()
-    df = docs.withColumn("__found", F.coalesce(_found(F.col(text_col)), F.array().cast("array<string>")))
-    if none:
+    df = docs.select(*kept, F.coalesce(_found(F.col(text_col)), F.array().cast("array<string>")).alias(found))
+    if moved.isEmpty():
         attempt = lambda kind, e: F.lit(0)
     else:
         # the few values that were drawn again go to the rows that hold them
-        df = df.withColumn("__row", F.monotonically_increasing_id())
-        df = cut(df, "rows")
-        held = df.select("__row", F.explode(F.array_distinct("__found")).alias("e")).withColumn("kind", kind_of(F.col("e"))).withColumn("norm", normal(F.col("e"), F.col("kind")))
-        maps = held.join(moved, ["kind", "norm"]).groupBy("__row").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "kind", "norm"), "attempt"))).alias("__again"))
-        df = df.join(maps, "__row", "left")
-        attempt = lambda kind, e: F.coalesce(F.try_element_at("__again", F.concat_ws("\x1f", kind, normal(e, kind))), F.lit(0))
-    new = F.transform("__found", lambda e: _let(kind_of(e), lambda k: F.struct(k.alias("k"), surrogate(e, k, key, attempt(k, e)).alias("s"))))
-    new = F.when(F.size("__found") > 0, new).otherwise(F.array().cast("array<struct<k:string,s:string>>"))
-    kept = [c for c in docs.columns if c not in ("n_entities", "entity_kinds")]
-    df = df.select(*kept, "__found", new.alias("__new"))
+        df = cut(df.withColumn(row, F.monotonically_increasing_id()), "rows")
+        held = df.select(row, F.explode(F.array_distinct(found)).alias("e")).withColumn("kind", kind_of(F.col("e"))).withColumn("norm", normal(F.col("e"), F.col("kind")))
+        maps = held.join(moved, ["kind", "norm"]).groupBy(row).agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "kind", "norm"), "attempt"))).alias(again))
+        df = df.join(maps, row, "left")
+        attempt = lambda kind, e: F.coalesce(F.try_element_at(again, F.concat_ws("\x1f", kind, normal(e, kind))), F.lit(0))
+    new = F.transform(found, lambda e: _let(kind_of(e), lambda k: F.struct(k.alias("k"), e.alias("e"), surrogate(e, k, key, attempt(k, e)).alias("s"))))
+    new = F.when(F.size(found) > 0, new).otherwise(F.array().cast("array<struct<k:string,e:string,s:string>>"))
+    df = df.select(*kept, found, new.alias(made))
+    # word -> surrogate word of the names in a text; the first titled mention of a word decides
+    split = lambda x: F.slice(F.split(x, "[ \\-]"), F.lit(2), F.lit(9))
+    pairs = F.flatten(F.transform(F.filter(made, lambda n: n["k"] == "name"), lambda n: F.arrays_zip(split(n["e"]).alias("w"), split(n["s"]).alias("s"))))
+    firsts = F.aggregate(
+        pairs, F.create_map().cast("map<string,string>"),
+        lambda m, p: F.when(F.map_contains_key(m, p["w"]), m).otherwise(F.map_concat(m, F.create_map(p["w"], p["s"]))),
+    )
+    df = df.select(*kept, found, made, F.when(F.exists(made, lambda n: n["k"] == "name"), firsts).alias(gone))
     gaps = F.split(F.col(text_col), ANY, -1)
-    joined = F.concat(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size("__found")), "__new", lambda g, n: F.concat(g, n["s"])), ""), F.element_at(gaps, -1))
-    text = F.when(F.size("__found") > 0, joined).otherwise(F.col(text_col)).alias(text_col)
-    kinds = F.array_sort(F.array_distinct(F.transform("__new", lambda n: n["k"])))
-    return df.select(*[text if c == text_col else c for c in kept], F.size("__found").cast("long").alias("n_entities"), kinds.alias("entity_kinds"))
+    gaps = F.when(F.col(gone).isNull(), gaps).otherwise(F.transform(gaps, lambda g: _bare(g, F.array_sort(F.map_keys(gone), lambda x, y: F.length(y) - F.length(x)), F.col(gone))))
+    joined = _let(gaps, lambda all_: F.concat(F.array_join(F.zip_with(F.slice(all_, F.lit(1), F.size(found)), made, lambda g, n: F.concat(g, n["s"])), ""), F.element_at(all_, -1)))
+    text = F.when(F.size(found) > 0, joined).otherwise(F.col(text_col)).alias(text_col)
+    kinds = F.array_sort(F.array_distinct(F.transform(made, lambda n: n["k"])))
+    return df.select(*[text if c == text_col else c for c in kept], F.size(found).cast("long").alias("n_entities"), kinds.alias("entity_kinds"))

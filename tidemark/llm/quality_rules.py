@@ -1,16 +1,17 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
 Every document gets exact counts. A base rule rejects texts that are too short or mostly repeated. Beyond it,
-cutoffs are learned per stratum (length band) and rule: on labelled good documents that pass the base rule, a
-cutoff is admissible if an exact binomial test shows, at the corrected level, that it would reject at most
-``max_false_rejection`` of good documents of that stratum. Within a stratum and rule the cutoffs are tested from the mildest to
-the strictest and testing ends at the first failure (fixed-sequence testing keeps the error level along it); across strata and
-rules the level is divided by their number (Bonferroni). Strata without enough labels get no cutoff and reject
+steps of joint cutoffs, one for each rule, are learned per stratum (length band): on labelled good documents that pass the base rule, a
+step is admissible if an exact binomial test shows, at the corrected level, that all its rules together would reject at most
+``max_false_rejection`` of good documents of that stratum. What is tested is the verdict itself, so several rules cannot add up to more. Within a stratum the steps are
+tested from the mildest to the strictest and testing ends at the first failure (fixed-sequence testing keeps the error level along it); across strata
+the level is divided by their number (Bonferroni). Strata without enough labels get no step and reject
 nothing beyond the base rule.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -29,14 +30,15 @@ RULES = (
     ("shout_share", "n_bangs", "n_words"),
     ("long_word_share", "word_chars", "n_words"),
 )
-#: Cutoffs from the mildest to the strictest, in thousandths, so that SQL and Spark compare integers.
+#: Cutoffs of each step from the mildest to the strictest, in thousandths, so that SQL and Spark compare integers.
 GRID = {
-    "symbol_share": (3000, 2000, 1500, 1000, 750, 500, 400, 300, 200, 150, 100),
-    "dup_line_share": (900, 800, 700, 600, 500, 400, 300, 200, 100),
-    "repeat_share": (450, 400, 350, 300, 250, 200, 150, 100, 50),
-    "shout_share": (3000, 2000, 1500, 1000, 750, 500, 400, 300, 200, 100),
+    "symbol_share": (3000, 2000, 1500, 1000, 750, 500, 300, 150),
+    "dup_line_share": (900, 800, 700, 600, 500, 400, 300, 200),
+    "repeat_share": (450, 400, 350, 300, 250, 200, 150, 100),
+    "shout_share": (3000, 2000, 1500, 1000, 750, 500, 300, 150),
     "long_word_share": (40000, 30000, 25000, 20000, 17000, 15000, 13000, 12000),
 }
+STEPS = 8
 BANDS = ((0, 200), (200, 1000), (1000, None))
 
 
@@ -98,33 +100,40 @@ def _over(rule: tuple[str, str, str], cutoff: int) -> Column:
     return 1000 * F.col(rule[1]) > cutoff * F.col(rule[2])
 
 
-def learn_cutoffs(good: DataFrame, max_false_rejection: float = 0.02, level: float = 0.05) -> dict[tuple[int, str], int]:
-    """Cutoffs certified on the counts of labelled good documents: ``{(stratum, rule): thousandths}``.
+def _rejects(step: int) -> Column:
+    """Whether any rule fires at a step."""
+    return functools.reduce(Column.__or__, [_over(r, GRID[r[0]][step]) for r in RULES])
+
+
+def certified(rejected: list[int], n: int, max_false_rejection: float, share: float) -> int | None:
+    """The last step before the first whose test fails at level ``share``; None if the first fails."""
+    last = None
+    for step, x in enumerate(rejected):
+        if binomial_tail(x, n, max_false_rejection) > share:
+            break
+        last = step
+    return last
+
+
+def learn_steps(good: DataFrame, max_false_rejection: float = 0.02, level: float = 0.05) -> dict[int, int]:
+    """The certified step of each stratum on the counts of labelled good documents.
 
     One aggregation brings three rows of counts (a row per length band) to the driver, whatever the input.
     """
-    cells = [(r, c) for r in RULES for c in GRID[r[0]]]
     rows = (
         good.where(~base_failed()).groupBy(stratum(F.col("n_words")).alias("stratum"))
-        .agg(F.count("*").alias("n"), *[F.count_if(_over(r, c)).alias(f"{r[0]}_{c}") for r, c in cells]).collect()
+        .agg(F.count("*").alias("n"), *[F.count_if(_rejects(k)).alias(f"x{k}") for k in range(STEPS)]).collect()
     )
-    share, found = level / (len(RULES) * len(BANDS)), {}
-    for row in rows:
-        for rule in RULES:
-            for c in GRID[rule[0]]:
-                if binomial_tail(row[f"{rule[0]}_{c}"], row["n"], max_false_rejection) > share:
-                    break
-                found[row["stratum"], rule[0]] = c
-    return found
-
-
-def judge(feats: DataFrame, cutoffs: dict[tuple[int, str], int]) -> DataFrame:
-    """Adds ``base_failed``, ``stratum``, ``rejected_by`` (first certified rule that fires) and ``kept``."""
+    found = {r["stratum"]: certified([r[f"x{k}"] for k in range(STEPS)], r["n"], max_false_rejection, level / len(BANDS)) for r in rows}
+    return {s: k for s, k in found.items() if k is not None}
+
+
+def judge(feats: DataFrame, steps: dict[int, int]) -> DataFrame:
+    """Adds ``base_failed``, ``stratum``, ``rejected_by`` (first rule that fires at the certified step) and ``kept``."""
     fired = F.lit(None).cast("string")
     for rule in reversed(RULES):
-        for s in range(len(BANDS)):
-            if (c := cutoffs.get((s, rule[0]))) is not None:
-                fired = F.when((F.col("stratum") == s) & _over(rule, c), rule[0]).otherwise(fired)
+        for s, k in steps.items():
+            fired = F.when((F.col("stratum") == s) & _over(rule, GRID[rule[0]][k]), rule[0]).otherwise(fired)
     df = feats.withColumns({"base_failed": base_failed(), "stratum": stratum(F.col("n_words"))}).withColumn("rejected_by", fired)
     return df.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
 
@@ -140,18 +149,15 @@ def quality_rules(
     """
     feats = cut(counts(docs, id_col, text_col), "counts")
     good = labels.where("quality = 1").select("doc_id").distinct()
-    cutoffs = learn_cutoffs(feats.join(good, "doc_id", "left_semi"), max_false_rejection, level)
-    return judge(feats, cutoffs)
+    return judge(feats, learn_steps(feats.join(good, "doc_id", "left_semi"), max_false_rejection, level))
 
 
 def oracle() -> str:
     """DuckDB SQL of the same verdicts."""
-    over = lambda r, c: f"1000 * {r[1]} > {c} * {r[2]}"
-    cells = " UNION ALL ".join(
-        f"SELECT stratum, '{r[0]}' AS rule, {k} AS step, {c} AS cutoff, count(*) AS n, count(*) FILTER (WHERE {over(r, c)}) AS x FROM good GROUP BY 1"
-        for r in RULES for k, c in enumerate(GRID[r[0]])
-    )
-    fired = " ".join(f"WHEN {r[1]} * 1000 > (SELECT max(cutoff) FROM sel s WHERE s.stratum = j.stratum AND s.rule = '{r[0]}') * {r[2]} THEN '{r[0]}'" for r in RULES)
+    any_of = lambda k: " OR ".join(f"1000 * {r[1]} > {GRID[r[0]][k]} * {r[2]}" for r in RULES)
+    cells = " UNION ALL ".join(f"SELECT stratum, {k} AS step, count(*) AS n, count(*) FILTER (WHERE {any_of(k)}) AS x FROM good GROUP BY 1" for k in range(STEPS))
+    cutoff = lambda r: "[" + ", ".join(map(str, GRID[r[0]])) + "][step + 1]"
+    fired = " ".join(f"WHEN {r[1]} * 1000 > {cutoff(r)} * {r[2]} THEN '{r[0]}'" for r in RULES)
     return rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
@@ -169,10 +175,10 @@ j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
   CASE WHEN n_words < 200 THEN 0 WHEN n_words < 1000 THEN 1 ELSE 2 END AS stratum FROM c),
 good AS (SELECT * FROM j WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
 cells AS ({cells}),
-tails AS (SELECT stratum, rule, step, cutoff, (SELECT sum(exp(lgamma(n + 1) - CASE WHEN i > 0 THEN lgamma(i + 1) ELSE 0 END - CASE WHEN n > i THEN lgamma(n - i + 1) ELSE 0 END
+tails AS (SELECT stratum, step, (SELECT sum(exp(lgamma(n + 1) - CASE WHEN i > 0 THEN lgamma(i + 1) ELSE 0 END - CASE WHEN n > i THEN lgamma(n - i + 1) ELSE 0 END
   + i * ln(0.02::DOUBLE) + (n - i) * ln(0.98::DOUBLE))) FROM unnest(range(0, x + 1)) AS u(i)) AS p FROM cells),
-runs AS (SELECT *, bool_and(p <= 0.05::DOUBLE / {len(RULES) * len(BANDS)}) OVER (PARTITION BY stratum, rule ORDER BY step) AS ok FROM tails),
-sel AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM runs WHERE ok GROUP BY ALL),
-f AS (SELECT j.*, CASE {fired} END AS rejected_by FROM j)
+runs AS (SELECT *, bool_and(p <= 0.05::DOUBLE / {len(BANDS)}) OVER (PARTITION BY stratum ORDER BY step) AS ok FROM tails),
+sel AS (SELECT stratum, CAST(max(step) AS INT) AS step FROM runs WHERE ok GROUP BY ALL),
+f AS (SELECT j.*, CASE {fired} END AS rejected_by FROM j LEFT JOIN sel USING (stratum))
 SELECT doc_id, n_words, word_chars, n_symbols, n_bangs, n_lines, n_dup_lines, n_repeat_words, base_failed, stratum, rejected_by,
   NOT base_failed AND rejected_by IS NULL AS kept FROM f"""
