@@ -39,23 +39,43 @@ def hac(df: DataFrame, by: list[str], at: str, x: str, lags: int = 5) -> DataFra
     return g.withColumn("t", F.try_divide("mean", "se"))
 
 
-def cluster_bootstrap(df: DataFrame, cluster: str, x: str, draws: int = 200, seed: int = 7) -> DataFrame:
-    """Bootstrap of a mean by clusters: one row with n, mean, low and high (95%).
+#: Cumulative probabilities of Poisson(1) up to seven.
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
 
-    Clusters are summed first, so draws x clusters rows are made, not draws x rows. A cluster's weight in a draw is Poisson(1), drawn from a
-    hash of (seed, draw, cluster): the same on every run and on every machine.
+
+def draw_weights(clusters: DataFrame, cluster: str, draws: int, seed: int, weight: str) -> DataFrame:
+    """``(cluster, draw, weight)``: Poisson(1) weights from a hash of (seed, draw, cluster), the same on every run and on every machine."""
+    d = clusters.select(cluster).distinct().withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "draw", F.col(cluster).cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    return d.withColumn(weight, sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0)))
+
+
+def _interval(means: DataFrame, df: DataFrame, x: str, least: int) -> DataFrame:
+    ci = means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    enough = lambda c: F.when(F.col("n") >= least, F.col(c)).alias(c)
+    return df.agg(F.count(x).alias("n"), F.avg(x).alias("mean")).crossJoin(F.broadcast(ci)).select("n", "mean", enough("low"), enough("high"))
+
+
+def cluster_bootstrap(df: DataFrame, cluster: str, x: str, draws: int = 2000, seed: int = 7, least: int = 20) -> DataFrame:
+    """Bootstrap of a mean by clusters: one row with n, mean, low and high (95%); no interval below ``least`` rows.
+
+    Clusters are summed first, so draws x clusters rows are made, not draws x rows.
     """
     g = df.groupBy(cluster).agg(F.sum(x).alias("__s"), F.count(x).alias("__c"))
-    d = g.withColumn("__draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "__draw", F.col(cluster).cast("string")), F.lit(1_000_000)) / 1e6
-    weight, total, p = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(8):
-        total += p
-        weight = F.when(u >= total, k + 1).otherwise(weight)
-        p /= k + 1
-    means = d.withColumn("__w", weight).groupBy("__draw").agg(F.try_divide(F.sum(F.col("__w") * F.col("__s")), F.sum(F.col("__w") * F.col("__c"))).alias("m"))
-    ci = means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
-    return df.agg(F.count(x).alias("n"), F.avg(x).alias("mean")).crossJoin(ci)
+    means = g.join(draw_weights(g, cluster, draws, seed, "w"), cluster).groupBy("draw").agg(F.try_divide(F.sum(F.col("w") * F.col("__s")), F.sum(F.col("w") * F.col("__c"))).alias("m"))
+    return _interval(means, df, x, least)
+
+
+def two_way_bootstrap(df: DataFrame, one: str, two: str, x: str, draws: int = 2000, seed: int = 23, least: int = 20) -> DataFrame:
+    """The same by two crossed ways: a row weighs the product of the weights of its two clusters, drawn apart.
+
+    Cells of both ways are summed first; each meets the two weights of every draw.
+    """
+    g = df.groupBy(one, two).agg(F.sum(x).alias("__s"), F.count(x).alias("__c"))
+    a, b = draw_weights(g, one, draws, seed, "wa").where("wa > 0"), draw_weights(g, two, draws, seed + 1, "wb").where("wb > 0")
+    j = g.join(a, one).join(b, [two, "draw"]).withColumn("w", F.col("wa") * F.col("wb"))
+    means = j.groupBy("draw").agg(F.try_divide(F.sum(F.col("w") * F.col("__s")), F.sum(F.col("w") * F.col("__c"))).alias("m"))
+    return _interval(means, df, x, least)
 
 
 def block_bootstrap(df: DataFrame, at: str, x: str, block: int = 21, draws: int = 200, seed: int = 7) -> DataFrame:

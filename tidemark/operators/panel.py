@@ -39,7 +39,8 @@ def rolling_beta(y: str, x: str, by: str, at: str, width: int, mixed: bool = Fal
 
 
 def two_factor_residual(y: str, a: str, b: str, by: str, at: str, width: int) -> tuple[Column, Column, Column]:
-    """(beta a, beta b, residual) of y on two factors over strictly earlier rows in closed form, without an intercept in the residual's betas."""
+    """(beta a, beta b, residual) of y on two factors over strictly earlier rows in closed form. The means serve the betas only:
+    the residual is what the two factors do not explain, the intercept included. Give factor b in excess of factor a, lest the two be nearly collinear."""
     w = trailing(by, at, width)
     m = lambda e: F.avg(e).over(w)
     cov = lambda p, q: m(F.col(p) * F.col(q)) - m(F.col(p)) * m(F.col(q))
@@ -47,8 +48,7 @@ def two_factor_residual(y: str, a: str, b: str, by: str, at: str, width: int) ->
     det = saa * sbb - sab * sab
     ok = (F.count(F.col(y) + F.col(a) + F.col(b)).over(w) >= width) & (F.abs(det) > 1e-14)
     ba, bb = F.when(ok, (say * sbb - sby * sab) / det), F.when(ok, (sby * saa - say * sab) / det)
-    alpha = m(F.col(y)) - ba * m(F.col(a)) - bb * m(F.col(b))
-    return ba, bb, F.col(y) - alpha - ba * F.col(a) - bb * F.col(b)
+    return ba, bb, F.col(y) - ba * F.col(a) - bb * F.col(b)
 
 
 def rolling_median(x: str, w, least: int = 1) -> Column:

@@ -72,11 +72,10 @@ def nearest_within_3d(spark, d):
     return pairs.groupBy("event_id").agg(F.min_by("pid", F.struct(F.abs(secs("ts") - secs("pts")).alias("g"), "pid")).alias("nearest"))
 
 
-@query("last_n_before", """disc, prices: SELECT trade_id, count(*) AS n, round(avg(close), 6) AS mean FROM (SELECT d.trade_id, p.close, row_number() OVER (PARTITION BY d.trade_id ORDER BY p.date DESC) AS r FROM disc d JOIN prices p ON p.ticker = d.ticker AND p.date < d.filing_date AND p.date >= d.filing_date - 90
-  WHERE d.trade_id % 50 = 0) WHERE r <= 65 GROUP BY 1""")
+@query("last_n_before", """disc, prices: SELECT trade_id, count(*) AS n, round(avg(close), 6) AS mean FROM (SELECT d.trade_id, p.close, row_number() OVER (PARTITION BY d.trade_id ORDER BY p.date DESC) AS r FROM disc d JOIN prices p ON p.ticker = d.ticker AND p.date < d.filing_date AND p.date >= d.filing_date - 90) WHERE r <= 65 GROUP BY 1""")
 def last_n_before(spark, d):
-    """The last 65 daily rows before each filing, among those of the last 90 days; one filing in fifty is the query set."""
-    x = t.disclosures(spark, d).where("trade_id % 50 = 0 and ticker is not null").select("trade_id", "ticker", "filing_date")
+    """The last 65 daily rows before each filing, among those of the last 90 days."""
+    x = t.disclosures(spark, d).where("ticker is not null").select("trade_id", "ticker", "filing_date")
     x = x.withColumn("m", F.explode(F.sequence(F.trunc(F.date_sub("filing_date", 90), "MM"), F.trunc(F.date_sub("filing_date", 1), "MM"), F.expr("interval 1 month"))))
     p = t.prices(spark, d).select("ticker", "date", "close", F.trunc("date", "MM").alias("m"))
     j = x.join(p, ["ticker", "m"]).where((F.col("date") < F.col("filing_date")) & (F.col("date") >= F.date_sub("filing_date", 90)))
@@ -121,13 +120,14 @@ def count_prior_90d(spark, d):
     return t.disclosures(spark, d).select("trade_id", F.count("*").over(w).alias("n"))
 
 
-@query("cluster_count_30d", "disc: SELECT a.trade_id, count(DISTINCT b.member) AS others FROM disc a LEFT JOIN disc b ON a.ticker = b.ticker AND b.member <> a.member AND b.filing_date >= a.filing_date - 30 AND b.filing_date < a.filing_date WHERE a.trade_id % 20 = 0 GROUP BY 1")
+@query("cluster_count_30d", "disc: SELECT a.trade_id, count(DISTINCT b.member) AS others FROM disc a LEFT JOIN disc b ON a.ticker = b.ticker AND b.member <> a.member AND b.filing_date >= a.filing_date - 30 AND b.filing_date < a.filing_date GROUP BY 1")
 def cluster_count_30d(spark, d):
-    """Other members on the same ticker in the 30 days before; one trade in twenty is the query set."""
+    """Other members on the same ticker in the 30 days before."""
     x = t.disclosures(spark, d)
-    w = W.partitionBy("ticker").orderBy(F.unix_date("filing_date")).rangeBetween(-30, -1)
-    got = x.withColumn("s", F.when(F.col("ticker").isNotNull(), F.collect_set("member").over(w))).where("trade_id % 20 = 0")
-    return got.select("trade_id", F.coalesce(F.size(F.array_remove("s", F.col("member"))), F.lit(0)).cast("long").alias("others"))
+    facts = x.groupBy("ticker", F.col("filing_date").alias("known"), F.col("member").alias("other")).agg(F.count("*").alias("c"))
+    pairs = within(x.select("trade_id", "ticker", "member", "filing_date"), facts, ["ticker"], "filing_date", "known", 30 * 86400, -86400).where("other <> member")
+    got = pairs.select("trade_id", "other").distinct().groupBy("trade_id").agg(F.count("*").alias("others"))
+    return x.select("trade_id").join(got, "trade_id", "left").select("trade_id", F.coalesce("others", F.lit(0)).cast("long").alias("others"))
 
 
 @query("repeat_flag", "disc: SELECT trade_id, coalesce(filing_date - lag(filing_date) OVER (PARTITION BY member, ticker ORDER BY filing_date, trade_id) <= 365, false) AS repeat FROM disc")
@@ -179,20 +179,20 @@ def alpha_decay(spark, d):
   round(CASE WHEN count(ret + mkt) OVER w = 60 AND var_pop(mkt) OVER w > 0 THEN covar_samp(ret, mkt) OVER w / var_pop(mkt) OVER w END, 5) AS mixed FROM j
   WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)""")
 def rolling_beta(spark, d):
-    r = t.returns(t.prices(spark, d))
-    r = r.join(r.groupBy("date").agg(F.avg("ret").alias("mkt")), "date")
+    r = t.returns(t.prices(spark, d)).withColumn("mkt", F.avg("ret").over(W.partitionBy("date")))
     return r.select("ticker", "date", F.round(panel.rolling_beta("ret", "mkt", "ticker", "date", 60), 5).alias("beta"), F.round(panel.rolling_beta("ret", "mkt", "ticker", "date", 60, mixed=True), 5).alias("mixed"))
 
 
-@query("two_factor_residual", """brets: WITH j AS (SELECT b.ticker, b.ts, b.ret AS y, m.ret AS m, s.ret AS s FROM brets b JOIN brets m ON m.ts = b.ts AND m.ticker = 'view' JOIN brets s ON s.ts = b.ts AND s.ticker = 'click' WHERE b.ticker NOT IN ('view', 'click')),
+@query("two_factor_residual", """brets: WITH j AS (SELECT b.ticker, b.ts, b.ret AS y, m.ret AS m, s.ret - m.ret AS s FROM brets b JOIN brets m ON m.ts = b.ts AND m.ticker = 'view' JOIN brets s ON s.ts = b.ts AND s.ticker = 'click' WHERE b.ticker NOT IN ('view', 'click')),
   a AS (SELECT *, count(y + m + s) OVER w AS n, avg(m * m) OVER w - avg(m) OVER w * avg(m) OVER w AS mm, avg(s * s) OVER w - avg(s) OVER w * avg(s) OVER w AS ss, avg(m * s) OVER w - avg(m) OVER w * avg(s) OVER w AS ms,
-   avg(m * y) OVER w - avg(m) OVER w * avg(y) OVER w AS my, avg(s * y) OVER w - avg(s) OVER w * avg(y) OVER w AS sy, avg(y) OVER w AS ay, avg(m) OVER w AS am, avg(s) OVER w AS as_ FROM j WINDOW w AS (PARTITION BY ticker ORDER BY ts ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)),
+   avg(m * y) OVER w - avg(m) OVER w * avg(y) OVER w AS my, avg(s * y) OVER w - avg(s) OVER w * avg(y) OVER w AS sy FROM j WINDOW w AS (PARTITION BY ticker ORDER BY ts ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)),
   b AS (SELECT *, (my * ss - sy * ms) / (mm * ss - ms * ms) AS bm, (sy * mm - my * ms) / (mm * ss - ms * ms) AS bs FROM a WHERE n = 30 AND abs(mm * ss - ms * ms) > 1e-14)
-  SELECT ticker, epoch(ts)::BIGINT AS at, round(y - (ay - bm * am - bs * as_) - bm * m - bs * s, 4) AS resid FROM b""")
+  SELECT ticker, epoch(ts)::BIGINT AS at, round(y - bm * m - bs * s, 4) AS resid FROM b""")
 def two_factor_residual(spark, d):
     r = t.returns(t.bars(spark, d), at="ts").select("ticker", "ts", "ret")
-    factor = lambda x, n: r.where(F.col("ticker") == x).select("ts", F.col("ret").alias(n))
-    j = r.where("ticker not in ('view', 'click')").join(factor("view", "m"), "ts").join(factor("click", "s"), "ts")
+    at, has = W.partitionBy("ts"), lambda x: F.count_if(F.col("ticker") == x).over(W.partitionBy("ts")) > 0
+    factor = lambda x: F.max(F.when(F.col("ticker") == x, F.col("ret"))).over(at)
+    j = r.withColumns({"m": factor("view"), "s": factor("click") - factor("view"), "both": has("view") & has("click")}).where("both and ticker not in ('view', 'click')")
     _, _, resid = panel.two_factor_residual("ret", "m", "s", "ticker", "ts", 30)
     return j.select("ticker", secs("ts").alias("at"), F.round(resid, 4).alias("resid")).where("resid is not null")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import market, text
 from tidemark.operators import inference, panel, portfolio, sequence
+from tidemark.operators.asof import within
 from tidemark.operators.tables import best
 from tidemark.plans import tables as t
 from tidemark.registry import query
@@ -20,7 +21,13 @@ def returns(spark, d):
     return t.returns(t.prices(spark, d))
 
 
-@query("cusum_reset")
+CUSUM = "CASE WHEN {x} IS NULL THEN {s} ELSE greatest(0.0::DOUBLE, {s} {sign} {x} - 0.1::DOUBLE) END"
+
+
+@query("cusum_reset", """brets: WITH RECURSIVE e AS (SELECT ticker, CAST(ts AS DATE) AS day, ts, ret, row_number() OVER (PARTITION BY ticker, CAST(ts AS DATE) ORDER BY ts) AS i FROM brets),
+  k AS (SELECT ticker, day, ts, i, ret, """ + CUSUM.format(x="ret", s="0.0::DOUBLE", sign="+") + " AS up, " + CUSUM.format(x="ret", s="0.0::DOUBLE", sign="-") + """ AS down FROM e WHERE i = 1
+   UNION ALL SELECT e.ticker, e.day, e.ts, e.i, e.ret, """ + CUSUM.format(x="e.ret", s="k.up", sign="+") + ", " + CUSUM.format(x="e.ret", s="k.down", sign="-") + """ FROM k JOIN e ON e.ticker = k.ticker AND e.day = k.day AND e.i = k.i + 1)
+  SELECT ticker, CAST(epoch(ts) AS BIGINT) AS at, round(CASE WHEN ret >= 0 THEN up WHEN ret < 0 THEN down END, 6) AS cusum FROM k""")
 def cusum_reset(spark, d):
     r = t.returns(t.bars(spark, d), at="ts").withColumn("day", F.to_date("ts"))
     return sequence.cusum_by(r, ["ticker", "day"], "ts", "ret", 0.1).select("ticker", secs("ts").alias("at"), R6("cusum").alias("cusum"))
@@ -34,7 +41,7 @@ def episode_cooldown(spark, d):
     return sequence.cooldown(e, ["user_id"], "ts", 86400).select("user_id", secs("ts").alias("at"))
 
 
-BARRIER = """bars: WITH b AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts) AS idx FROM bars), e AS (SELECT ticker, idx, CASE WHEN close >= open THEN 1 ELSE -1 END AS side FROM b WHERE idx % 10 = 0),
+BARRIER = """bars: WITH b AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts) AS idx FROM bars), e AS (SELECT ticker, idx, CASE WHEN close >= open THEN 1 ELSE -1 END AS side FROM b),
   n AS (SELECT e.*, b.open AS entry FROM e JOIN b ON b.ticker = e.ticker AND b.idx = e.idx + 1 WHERE b.open > 0), j AS (SELECT n.*, b.idx - n.idx AS step, b.close,
    CASE WHEN side > 0 THEN b.high >= entry * 1.5 ELSE b.low <= entry * 0.5 END AS tk, CASE WHEN side > 0 THEN b.low <= entry * 0.5 ELSE b.high >= entry * 1.5 END AS st FROM n JOIN b ON b.ticker = n.ticker AND b.idx BETWEEN n.idx + 1 AND n.idx + 5),
   f AS (SELECT ticker, idx, side, entry, min(CASE WHEN tk OR st THEN step END) AS hit, max(step) AS last FROM j GROUP BY ALL)
@@ -43,7 +50,7 @@ BARRIER = """bars: WITH b AS (SELECT *, row_number() OVER (PARTITION BY ticker O
 
 def _barrier(spark, d, stop_first):
     b = t.bars(spark, d).withColumn("idx", F.row_number().over(W.partitionBy("ticker").orderBy("ts")))
-    e = b.where("idx % 10 = 0").select("ticker", "idx", F.when(F.col("close") >= F.col("open"), 1).otherwise(-1).alias("side"))
+    e = b.select("ticker", "idx", F.when(F.col("close") >= F.col("open"), 1).otherwise(-1).alias("side"))
     return sequence.barrier(e, b, "ticker", 5, 0.5, 0.5, stop_first).where("entry > 0").select("ticker", "idx", "bars_held", "reason")
 
 
@@ -59,8 +66,9 @@ def triple_barrier_pessimistic(spark, d):
 
 @query("concurrency_cap")
 def concurrency_cap(spark, d):
-    x = t.disclosures(spark, d).select(F.col("trade_id").alias("id"), F.col("tx_date").cast("timestamp").alias("s"), F.date_add("tx_date", 20).cast("timestamp").alias("e"))
-    return sequence.concurrency_cap(x, "s", "e", 5)
+    """All trades as one book."""
+    x = t.disclosures(spark, d).select(F.lit("all").alias("book"), F.col("trade_id").alias("id"), F.col("tx_date").cast("timestamp").alias("s"), F.date_add("tx_date", 20).cast("timestamp").alias("e"))
+    return sequence.concurrency_cap(x, ["book"], "s", "e", 5).select("id")
 
 
 @query("opening_policy_replay", """bars: WITH m AS (SELECT ticker, CAST(ts AS DATE) AS date, arg_min(open, ts) FILTER (WHERE hour(ts) = 9) AS o9, arg_max(close, ts) FILTER (WHERE hour(ts) = 10) AS c10, max(open) FILTER (WHERE hour(ts) = 11) AS entry, max(close) FILTER (WHERE hour(ts) = 15) AS exit FROM bars GROUP BY 1, 2),
@@ -101,14 +109,18 @@ def ledger_nav(spark, d):
     return p.select("date", F.round("nav", 5).alias("nav"), F.round(F.col("nav") / F.max("nav").over(o) - 1, 5).alias("drawdown"))
 
 
-@query("vol_target_ewma")
+@query("vol_target_ewma", """rets: WITH v AS (SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i, CASE WHEN count(ret) OVER b = 60 THEN greatest(stddev_samp(ret) OVER a, stddev_samp(ret) OVER b) END AS vol FROM rets
+   WINDOW a AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), b AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)),
+  m AS (SELECT ticker, date, i, CASE WHEN vol > 0 THEN least(1.5::DOUBLE, greatest(0.5::DOUBLE, 0.10::DOUBLE / (vol * 15.874507866387544::DOUBLE))) END AS m FROM v)
+  SELECT x.ticker, x.date, round(coalesce(sum(y.m * pow(2 / 3.0::DOUBLE, x.i - y.i)) / sum(CASE WHEN y.m IS NOT NULL THEN pow(2 / 3.0::DOUBLE, x.i - y.i) END), 1.0::DOUBLE), 6) AS leverage FROM m x JOIN m y ON y.ticker = x.ticker AND y.i <= x.i GROUP BY 1, 2""")
 def vol_target_ewma(spark, d):
+    """Leverage from the volatility known the day before: the larger of 20 and 60 days, clipped, smoothed; 1 while there is none."""
     o = W.partitionBy("ticker").orderBy("date")
-    r = returns(spark, d).withColumn("vol", F.greatest(F.stddev_samp("ret").over(o.rowsBetween(-20, -1)), F.stddev_samp("ret").over(o.rowsBetween(-60, -1))))
-    r = r.withColumn("lev", F.least(F.lit(1.5), F.greatest(F.lit(0.2), F.coalesce(0.10 / (F.col("vol") * 15.874507866387544), F.lit(1.0)))))
-    g = r.groupBy("ticker", F.year("date").alias("yr")).agg(F.array_sort(F.collect_list(F.struct("date", "lev"))).alias("s"))
-    g = g.withColumn("e", sequence.ewma(F.transform("s", lambda x: x["lev"]), 5))
-    return g.select("ticker", F.explode(F.arrays_zip("s", "e")).alias("x")).select("ticker", F.col("x.s.date").alias("date"), R6("x.e").alias("leverage"))
+    sd = lambda n: F.stddev_samp("ret").over(o.rowsBetween(-n, -1))
+    r = returns(spark, d).withColumn("vol", F.when(F.count("ret").over(o.rowsBetween(-60, -1)) == 60, F.greatest(sd(20), sd(60))))
+    raw = F.try_divide(F.lit(0.10), F.col("vol") * 15.874507866387544)
+    r = r.select("ticker", "date", F.when(raw.isNotNull(), F.least(F.lit(1.5), F.greatest(F.lit(0.5), raw))).alias("m"))
+    return sequence.ewma_by(r, ["ticker"], "date", "m", 5, "e").select("ticker", "date", R6(F.coalesce(F.nanvl("e", F.lit(None).cast("double")), F.lit(1.0))).alias("leverage"))
 
 
 @query("forward_settle_mark", """disc, sessions: WITH e AS (SELECT d.trade_id, d.ticker, s.idx AS i FROM (SELECT * FROM disc WHERE tx_type = 'PURCHASE') d ASOF JOIN sessions s ON d.filing_date < s.date), px AS (SELECT ticker, idx, open, close FROM prices JOIN sessions USING (date))
@@ -135,11 +147,17 @@ def hac_stats(spark, d):
     return inference.hac(returns(spark, d).where("ret is not null"), ["ticker"], "date", "ret", 5).select("ticker", "n", F.round("mean", 7).alias("mean"), F.round("t", 4).alias("t"))
 
 
+#: Trials of which the best is judged, and the factor of their spread that the best of them reaches without skill.
+TRIALS = 20
+BEST = inference.expected_max_sharpe(1.0, TRIALS)
+
+
 @query("deflated_sharpe", """rets: WITH m AS (SELECT ticker, count(ret) AS n, avg(ret) AS a, stddev_samp(ret) AS sd, stddev_pop(ret) AS sp, kurtosis_pop(ret) + 3 AS kurt, avg(ret * ret * ret) AS m3, avg(ret * ret) AS m2 FROM rets GROUP BY 1),
-  s AS (SELECT *, a / sd AS sr, (m3 - 3 * a * m2 + 2 * a * a * a) / (sp * sp * sp) AS skew FROM m) SELECT ticker, n, round(sr, 6) AS sr, round(skew, 4) AS skew, round(kurt, 4) AS kurt, round((sr - 0.02) * sqrt(n - 1) / sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr), 4) AS z FROM s""")
+  s AS (SELECT *, a / sd AS sr, (m3 - 3 * a * m2 + 2 * a * a * a) / (sp * sp * sp) AS skew FROM m) SELECT ticker, n, round(sr, 6) AS sr, round(skew, 4) AS skew, round(kurt, 4) AS kurt, round((sr - stddev_samp(sr) OVER () * """ + repr(BEST) + """::DOUBLE) * sqrt(n - 1) / sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr), 4) AS z FROM s""")
 def deflated_sharpe(spark, d):
     m = returns(spark, d).groupBy("ticker").agg(*inference.sharpe_moments("ret"))
-    z = (F.col("sr") - 0.02) * F.sqrt(F.col("n") - 1) / F.sqrt(1 - F.col("skew") * F.col("sr") + (F.col("kurt") - 1) / 4 * F.col("sr") * F.col("sr"))
+    m = m.crossJoin(F.broadcast(m.agg(F.stddev_samp("sr").alias("spread"))))  # one row
+    z = (F.col("sr") - BEST * F.col("spread")) * F.sqrt(F.col("n") - 1) / F.sqrt(1 - F.col("skew") * F.col("sr") + (F.col("kurt") - 1) / 4 * F.col("sr") * F.col("sr"))
     return m.select("ticker", "n", R6("sr").alias("sr"), F.round("skew", 4).alias("skew"), F.round("kurt", 4).alias("kurt"), F.round(z, 4).alias("z"))
 
 
@@ -150,15 +168,23 @@ def probabilistic_sharpe(spark, d):
     return m.select("ticker", R6(inference.probabilistic_sharpe(F.col("sr"), 0.0, F.col("n"), F.col("skew"), F.col("kurt"))).alias("psr"), R6(inference.probabilistic_sharpe(F.col("sr"), null, F.col("n"), F.col("skew"), F.col("kurt"))).alias("dsr"))
 
 
-@query("cluster_bootstrap")
+WEIGHT = lambda c, seed: "(" + " + ".join(f"CASE WHEN ('0x' || substr(md5('{seed}|' || draw || '|' || CAST({c} AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0::DOUBLE >= {p!r}::DOUBLE THEN 1 ELSE 0 END" for p in inference.POISSON) + ")"
+DRAWS = 200
+
+
+@query("cluster_bootstrap", f"""disc: WITH g AS (SELECT member, sum(amount) AS s, count(amount) AS c FROM disc GROUP BY 1), w AS (SELECT draw, s, c, {WEIGHT("member", 7)} AS w FROM g, unnest(range(1, {DRAWS + 1})) AS u(draw)),
+  m AS (SELECT sum(w * s) / sum(w * c) AS m FROM w GROUP BY draw) SELECT (SELECT count(amount) FROM disc) AS n, round((SELECT avg(amount) FROM disc), 3) AS mean, round(quantile_cont(m, 0.025), 3) AS low, round(quantile_cont(m, 0.975), 3) AS high FROM m""")
 def cluster_bootstrap(spark, d):
-    return inference.cluster_bootstrap(t.disclosures(spark, d), "member", "amount")
+    got = inference.cluster_bootstrap(t.disclosures(spark, d), "member", "amount", draws=DRAWS)
+    return got.select("n", *[F.round(c, 3).alias(c) for c in ("mean", "low", "high")])
 
 
-@query("two_way_bootstrap")
+@query("two_way_bootstrap", f"""disc: WITH g AS (SELECT member, year(filing_date) AS yr, sum(amount) AS s, count(amount) AS c FROM disc GROUP BY 1, 2), w AS (SELECT draw, s, c, {WEIGHT("member", 23)} * {WEIGHT("yr", 24)} AS w FROM g, unnest(range(1, {DRAWS + 1})) AS u(draw)),
+  m AS (SELECT sum(w * s) / nullif(sum(w * c), 0) AS m FROM w GROUP BY draw HAVING sum(w) > 0) SELECT (SELECT count(amount) FROM disc) AS n, round((SELECT avg(amount) FROM disc), 3) AS mean, round(quantile_cont(m, 0.025), 3) AS low, round(quantile_cont(m, 0.975), 3) AS high FROM m""")
 def two_way_bootstrap(spark, d):
-    x = t.disclosures(spark, d).withColumn("cell", F.concat_ws("|", "member", F.year("filing_date")))
-    return inference.cluster_bootstrap(x, "cell", "amount", seed=11)
+    x = t.disclosures(spark, d).withColumn("yr", F.year("filing_date"))
+    got = inference.two_way_bootstrap(x, "member", "yr", "amount", draws=DRAWS)
+    return got.select("n", *[F.round(c, 3).alias(c) for c in ("mean", "low", "high")])
 
 
 @query("block_bootstrap")
@@ -321,14 +347,20 @@ def event_tagger(spark, d):
     return load(spark, d, "documents").select("doc_id", tag.alias("tag"), F.locate("license", F.lower(x)).cast("long").alias("at"))
 
 
-@query("near_dup_pairs", """headlines: WITH k AS (SELECT event_id, public_time, list_distinct(list_filter(string_split(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '')) AS w, substr(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), 1, 24) AS head FROM headlines)
-  SELECT a.event_id AS one, b.event_id AS two FROM k a JOIN k b ON a.head = b.head AND a.event_id < b.event_id AND epoch(b.public_time) - epoch(a.public_time) <= 43200 WHERE len(list_intersect(a.w, b.w)) * 1.0::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) >= 0.8""")
+@query("near_dup_pairs", """headlines: WITH k AS (SELECT event_id, public_time, list_distinct(list_filter(string_split(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '')) AS w FROM headlines)
+  SELECT a.event_id AS one, b.event_id AS two FROM k a JOIN k b ON a.event_id < b.event_id AND abs(epoch(b.public_time) - epoch(a.public_time)) <= 43200 WHERE len(list_intersect(a.w, b.w)) >= 1 AND len(list_intersect(a.w, b.w)) * 1.0::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) >= 0.8""")
 def near_dup_pairs(spark, d):
-    """Headlines alike within 12 hours, blocked by their first 24 normalised characters."""
-    h = t.headlines(spark, d).select("event_id", "public_time", text.tokens(F.col("title")).alias("w"), F.substring(text.normalised(F.col("title")), 1, 24).alias("head"))
-    side = lambda n: h.select("head", F.col("event_id").alias(n), F.col("public_time").alias(f"t_{n}"), F.col("w").alias(f"w_{n}"))
-    j = side("one").join(side("two"), "head").where((F.col("one") < F.col("two")) & (secs("t_two") - secs("t_one") <= 43200))
-    return j.where(text.jaccard(F.col("w_one"), F.col("w_two")) >= 0.8).select("one", "two")
+    """Headlines alike within 12 hours. Of n distinct words a headline is looked up by its n - ceil(0.8 n) + 1 rarest: two of Jaccard 0.8 share one of these."""
+    h = t.headlines(spark, d).select("event_id", "public_time", text.tokens(F.col("title")).alias("w")).where(F.size("w") > 0)
+    words = h.select("event_id", F.explode(F.array_distinct("w")).alias("word"))
+    words = words.join(words.groupBy("word").agg(F.count("*").alias("c")), "word")
+    ranked = words.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("c", "word"))).alias("r"))
+    keys = ranked.select("event_id", F.explode(F.slice("r", F.lit(1), F.size("r") - F.ceil(F.size("r") * 0.8 - 1e-9).cast("int") + 1)).alias("k")).select("event_id", F.col("k.word").alias("word"))
+    keys = keys.join(h.select("event_id", "public_time"), "event_id")
+    side = lambda n: keys.select("word", F.col("event_id").alias(n), F.col("public_time").alias(f"t_{n}"))
+    pairs = within(side("one"), side("two"), ["word"], "t_one", "t_two", 43200, 43200).where("one < two").select("one", "two").distinct()
+    pairs = pairs.join(h.select(F.col("event_id").alias("one"), F.col("w").alias("w_one")), "one").join(h.select(F.col("event_id").alias("two"), F.col("w").alias("w_two")), "two")
+    return pairs.where(text.jaccard(F.col("w_one"), F.col("w_two")) >= 0.8).select("one", "two")
 
 
 @query("html_text", r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'gis'), '<[^>]*>', ' ', 'gs'), '\s+', ' ', 'g')) AS text FROM pages")

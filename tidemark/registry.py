@@ -54,4 +54,6 @@ def expand(oracle: str) -> str:
     needs = {"rets": "prices", "sessions": "prices", "brets": "bars"}
     wanted = list(dict.fromkeys(x for n in wanted for x in (needs.get(n, n), n)))
     ctes = ", ".join(CTE[n] for n in wanted)
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {body[15:]}"
     return f"WITH {ctes}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {ctes} {body}"

@@ -50,7 +50,7 @@ def stream_cusum(values: DataFrame, drift: float) -> DataFrame:
                 out.append(None)
                 continue
             up, down = max(0.0, up + x - drift), max(0.0, down - x - drift)
-            out.append(up if x >= 0 else -down)
+            out.append(up if x >= 0 else down)
         state.update((up, down))
         yield pd.DataFrame({"ticker": rows["ticker"], "day": rows["day"], "ts": rows["ts"], "cusum": pd.Series(out, index=rows.index, dtype="float64")})
 
