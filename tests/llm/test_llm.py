@@ -386,12 +386,45 @@ def test_op7_gradient_and_held_out_pages():
     assert right / total > 0.97
 
 
-def test_op1_grammar_contexts():
-    lexicon, tables = toxicity.Lexicon({"=idiot": 2.0, "^mord": 1.5}), toxicity.grammar()
-    f = lambda t: toxicity.features(t, lexicon, tables)
-    assert f("an idiot.")[0] > 0 and f("you idiot.")[1] > 0 and f("not an idiot.")[2] > 0 and f("he said you idiot.")[5] > 0
-    assert f("you. idiot")[0] > 0 and f("mordant")[0] > 0 and f("mor")[:16].sum() == 0
+def test_op1_grammar_contexts(spark):
+    lexicon, tables = toxicity.Lexicon({"=idiot": 2.0, "^mord": 1.5, "+empty head": 3.0}), toxicity.grammar()
+    f = lambda t: toxicity.features(t, lexicon, tables)[0]
+    assert f("an idiot.")[0] > 0 and f("you idiot.")[[1, 9]].all() and f("not an idiot.")[2] > 0 and f("he said you idiot.")[[5, 13]].all()
+    assert f("you. idiot")[0] > 0 and f("mordant")[0] > 0 and f("mor")[:24].sum() == 0 and f("idiot, you")[8] > 0
+    assert f("an empty head")[0] == pytest.approx(np.log1p(3)) and not f("empty. head").any()
+    assert f("kill time").sum() == 0 and f("i will kill you")[16] == pytest.approx(np.log1p(2)) and f("kill you")[16] == pytest.approx(np.log1p(1))
     assert not f("").any() and not f(None).any()
+    rows = spark.createDataFrame([(None, "idiot"), (1, "idiot"), (1, "idiot"), (2, "you idiot. " * 50_000)], "doc_id long, text string")
+    assert toxicity.toxicity(rows, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")).count() == 4
+
+
+def test_op1_automaton_against_brute_force():
+    """What the composed automaton emits, from the definitions of the patterns over whole clauses."""
+    x, (nxt, emitted), reach = toxicity, toxicity.grammar(), toxicity.GAP + 1
+    r = random.Random(17)
+    for _ in range(600):
+        c = [r.randrange(x.SYMBOLS) for _ in range(r.randrange(1, 14))]
+        q, got = 0, []
+        for a in c:
+            got.append(emitted[q][a])
+            q = nxt[q][a]
+        free, harm = [], []  # open terms that are not aimed, open verbs with whether they were announced
+        for i, a in enumerate(c):
+            want = x.ADDRESSED * (x.TARGET in c[:i]) | x.NEGATED * (x.NEGATION in c[max(0, i - x.SCOPE) : i]) | x.REPORTED * (x.REPORT in c[:i])
+            if a == x.INSULT:
+                # a target aims at terms until another term that stands free has come between
+                near = [j for j in range(max(0, i - reach), i) if c[j] == x.TARGET and not any(k > j for k in free)]
+                want |= x.TERM | x.AIMED * bool(near)
+                free = free if near else [i]
+            elif a == x.TARGET:
+                want |= x.AIMED * bool(free and i - free[-1] <= reach and c[free[-1] + 1 : i].count(x.TARGET) == 0 and c[free[-1] + 1 : i].count(x.INSULT) == 0)
+            if a == x.HARM:
+                harm = [(i, x.MODAL in c[max(0, i - reach) : i] and x.HARM not in c[max(j for j in range(max(0, i - reach), i) if c[j] == x.MODAL) + 1 : i])]
+            elif a == x.TARGET and harm:
+                if i - harm[0][0] <= reach:
+                    want |= x.THREAT | x.ANNOUNCED * harm[0][1]
+                harm = []
+            assert got[i] == want, (c, i, got[i], want)
 
 
 @pytest.fixture(scope="module")

@@ -34,8 +34,8 @@ from .tokens import scramble, shingles, token_hashes
 WIDTH = 5
 #: Functions of a band, bands.
 FUNCTIONS, BANDS = 2, 4
-#: What is not settled is compared with 1, then GROWTH, then GROWTH ** 2 .. of the texts that have its rare shingle.
-GROWTH = 8
+#: What is not settled is compared with FIRST, then FIRST * GROWTH, then FIRST * GROWTH ** 2 .. of the texts that have its rare shingle.
+FIRST, GROWTH = 8, 16
 #: Characters of the texts that are compared at a time.
 SLICE = 1 << 21
 #: Keys that a task holds before it hands them on.
@@ -335,7 +335,7 @@ def links(docs: DataFrame, min_words: int = 50, percent: int = 80, id_col: str =
         probes = cut(texts.where(F.size("cells") > 0).join(counts, "doc_id").mapInPandas(_probes(least, percent), "key long, doc long, place int"), "probes")
         members = cut(index.join(probes.select("key").distinct(), "key", "left_semi").select("key", "doc").distinct(), "members")
         discard(texts, index, common)
-        pivots = 1
+        pivots = FIRST
         while not probes.isEmpty():
             rank = F.row_number().over(Window.partitionBy("key").orderBy("doc"))  # limited before the shuffle, too
             smallest = members.withColumn("r", rank).where(F.col("r") <= pivots).select("key", F.col("doc").alias("b"))
