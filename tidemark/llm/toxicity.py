@@ -152,24 +152,22 @@ class Lexicon:
             k += 1
 
 
-N_FEATURES = 8 * 3 + 3
+N_FEATURES = 8 * 3 + 5
 
 
 def features(text: str | None, lexicon: Lexicon, tables) -> tuple[np.ndarray, int, int]:
     """Features of the matched clauses, the number of matches and of matched clauses; all zero for an empty text.
 
-    Per context: the summed weights of terms, of aimed terms, and the threats (announced ones twice). Then the heaviest clause, the number of matched clauses and their share.
+    Per context: the summed weights of terms, of aimed terms, and the threats (announced ones twice). Then the heaviest clause, the number of matches and of matched clauses, and how many of each there are to a word.
     """
     out = np.zeros(N_FEATURES)
     if not text:
         return out, 0, 0
     nxt, emitted = tables
-    best, hits, bad, clauses = 0.0, 0, 0, 0
+    best, hits, bad, read = 0.0, 0, 0, 0
     for clause in CLAUSE.split(text.lower()):
         words = TOKEN.findall(clause)
-        if not words:
-            continue
-        clauses += 1
+        read += len(words)
         q, total, last = 0, 0.0, 0.0
         for kind, w in lexicon.tokens(words):
             bits = emitted[q][kind]
@@ -190,7 +188,7 @@ def features(text: str | None, lexicon: Lexicon, tables) -> tuple[np.ndarray, in
         if total:
             best, bad = max(best, total), bad + 1
     out[:24] = np.log1p(out[:24])
-    out[24:] = best, math.log1p(bad), 10 * bad / max(clauses, 5)
+    out[24:] = best, math.log1p(hits), math.log1p(bad), 10 * hits / max(read, 20), 10 * bad / max(read, 20)
     return out, hits, bad
 
 
