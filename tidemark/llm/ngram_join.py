@@ -13,7 +13,7 @@ of parts is joined on equality, compared by the Hamming distance of a short sket
 Equal sets are first put behind one representative. In each group of equal parts the members are compared with the smallest id.
 Only groups that hold several components after that are looked into again, each set of members once. Small ones give their pairs of different
 components; a large one is cut into blocks, and each pair of blocks is one task's worth of sketches, so that only pairs whose sketches
-allow a link come out. No pair is lost.
+allow a link come out. Its largest component is not compared with itself. No pair is lost.
 """
 
 from __future__ import annotations
@@ -214,8 +214,13 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str =
     few = named.where(F.col("m") <= SMALL).select("key", "doc", "n", "c")
     pairs = few.select("key", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")).join(few.select("key", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")), "key")
     pairs = pairs.where("a < b and ca <> cb").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b").distinct()
-    many = named.where(F.col("m") > SMALL).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    many = many.withColumn("b", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # the largest component of a large group meets only the others, never itself: blocks of it have numbers below zero
+    count = named.where(F.col("m") > SMALL).groupBy("key", "c").agg(F.count("*").alias("size"))
+    large = count.groupBy("key").agg(F.max(F.struct("size", "c")).alias("top"))
+    many = named.where(F.col("m") > SMALL).join(large, "key").withColumns({"own": F.ceil(F.col("top.size") / BLOCK).cast("int"), "blocks": F.ceil((F.col("m") - F.col("top.size")) / BLOCK).cast("int")})
+    inside, h = F.col("c") == F.col("top.c"), F.xxhash64("doc")
+    many = many.withColumn("b", F.when(inside, -1 - F.pmod(h, F.col("own"))).otherwise(F.pmod(h, F.col("blocks"))).cast("int"))
+    many = many.withColumn("o", F.explode(F.sequence(F.when(inside, 0).otherwise(-F.col("own")), F.col("blocks") - 1)))
     dealt = many.select("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", F.col("doc").alias("id"), "c", "n", "bits")
     pairs = pairs.union(dealt.groupBy("key", "i", "j").applyInPandas(_block_pairs(percent), "a long, b long"))
     pairs = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "more-pairs")
