@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -91,3 +93,46 @@ def densify(df: DataFrame, keys: str, at: str) -> DataFrame:
     """Every key at every time that any key has, in long form; values are NULL where the row is missing."""
     times = df.agg(F.collect_set(at).alias("__t"))
     return df.select(keys).distinct().crossJoin(times).select(keys, F.explode("__t").alias(at)).join(df, [keys, at], "left")
+
+
+def factor_car(rows: DataFrame, factors: Sequence[str], horizon: int, width: int = 252, gap: int = 10, least: int = 100) -> DataFrame:
+    """Adds ``car``: the return from the open of a session over ``horizon`` sessions, less what the factors explain; NULL where betas or sessions lack.
+
+    ``rows`` has ``ticker, idx, open, close, ret, rf`` and the factors of the session. Betas come from least squares with intercept over the ``width``
+    sessions that end ``gap`` before the row (``least`` complete ones at least). The window's moments are differences of two running sums, so each row costs
+    the same whatever the width; only the small systems are solved in Python. Sessions without a return add nothing, those without a factor add the whole return.
+    """
+    o = W.partitionBy("ticker").orderBy("idx")
+    until = lambda k: o.rangeBetween(W.unboundedPreceding, -k)
+    y = F.when(F.greatest(*[F.col(f).isNull() for f in (*factors, "ret", "rf")]), None).otherwise(F.col("ret") - F.col("rf"))
+    x = rows.withColumn("__y", y)
+    terms = [F.lit(1.0), *[F.col(f) for f in factors], F.col("__y")]
+    pairs = [(i, j) for i in range(len(terms)) for j in range(i, len(terms))]
+    moment = lambda i, j, w: F.coalesce(F.sum(F.when(F.col("__y").isNotNull(), terms[i] * terms[j])).over(w), F.lit(0.0))
+    x = x.withColumn("__m", F.array(*[moment(i, j, until(gap + 1)) - moment(i, j, until(gap + width + 1)) for i, j in pairs]))
+    n = len(terms)
+
+    @F.pandas_udf("array<double>")
+    def betas(moments: pd.Series) -> pd.Series:
+        m = np.zeros((len(moments), n, n))
+        for k, (i, j) in enumerate(pairs):
+            m[:, i, j] = m[:, j, i] = [v[k] for v in moments]
+        # centred and brought to one scale, lest small factors drown in the constant
+        a, b, count = m[:, 1:-1, 1:-1], m[:, 1:-1, -1], np.maximum(m[:, 0, 0], 1)
+        mean, top = m[:, 0, 1:-1] / count[:, None], m[:, 0, -1] / count
+        a = a - count[:, None, None] * mean[:, :, None] * mean[:, None, :]
+        b = b - count[:, None] * mean * top[:, None]
+        scale = np.sqrt(np.maximum(np.einsum("kii->ki", a), 1e-300))
+        solved = np.linalg.pinv(a / (scale[:, :, None] * scale[:, None, :]), rcond=1e-10) @ (b / scale)[:, :, None]
+        return pd.Series(list(solved[:, :, 0] / scale))
+
+    x = x.withColumn("__b", betas("__m"))
+    beta = F.when(F.element_at("__m", 1) >= least, F.col("__b"))
+    known = F.greatest(*[F.col(f).isNull() for f in (*factors, "rf")]) == F.lit(False)
+    later = o.rangeBetween(1, horizon - 1)
+    hold = lambda c: F.coalesce(F.sum(F.when(F.col("ret").isNotNull() & known, c)).over(later), F.lit(0.0)) + F.when(known, c).otherwise(0.0)
+    gained = F.col("close") / F.col("open") - 1 + F.coalesce(F.sum("ret").over(later), F.lit(0.0)) - hold(F.col("rf"))
+    explained = sum((F.element_at(beta, i + 1) * hold(F.col(f)) for i, f in enumerate(factors)), F.lit(0.0))
+    whole = x.crossJoin(F.broadcast(rows.agg(F.max("idx").alias("__last"))))  # one row
+    car = F.when((F.col("open") > 0) & (F.col("idx") + horizon <= F.col("__last")), gained - explained)
+    return whole.withColumn("car", car).drop("__y", "__m", "__b", "__last")

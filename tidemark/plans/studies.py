@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import market, text
-from tidemark.operators import inference, panel, portfolio, sequence
+from tidemark.operators import clusters, inference, panel, portfolio, sequence
 from tidemark.operators.asof import within
 from tidemark.operators.tables import best
 from tidemark.plans import tables as t
@@ -363,6 +363,37 @@ def near_dup_pairs(spark, d):
     return pairs.where(text.jaccard(F.col("w_one"), F.col("w_two")) >= 0.8).select("one", "two")
 
 
+@query("entity_extract")
+def entity_extract(spark, d):
+    """Names in the whole headlines, each once."""
+    h = t.headlines(spark, d).select("event_id", F.explode(clusters.entities(F.col("title"), F.array("publisher"))).alias("entity"))
+    return h.select("event_id", "entity")
+
+
+@query("catalyst_clusters")
+def catalyst_clusters(spark, d):
+    """Headlines as articles of their publisher, who also stands for the ticker."""
+    h = t.headlines(spark, d).select("event_id", F.lit(None).cast("string").alias("identity"), "public_time", "title", F.array("publisher").alias("tickers"))
+    x = clusters.catalysts(h)
+    return x.select("catalyst_id", "event_id", secs("public_time").alias("at"), secs("earliest").alias("earliest"))
+
+
+@query("carhart_car")
+def carhart_car(spark, d):
+    """Abnormal returns of the purchases over 20 sessions from the one after their filing. Factors: the market, and the lower less the upper half by turnover, price and momentum known the day before."""
+    o, day = W.partitionBy("ticker").orderBy("date"), W.partitionBy("date")
+    r = returns(spark, d).join(t.sessions(spark, d), "date")
+    known = {"smb": F.lag(F.col("close") * F.col("volume")).over(o), "hml": F.lag("close").over(o), "mom": -F.try_divide(F.lag("close").over(o), F.lag("close", 21).over(o))}
+    r = r.withColumns(known)
+    r = r.withColumns({k: F.when(F.col(k).isNotNull(), F.percent_rank().over(day.orderBy(F.col(k).asc_nulls_last(), "ticker"))) for k in known})
+    spread = lambda k: (F.avg(F.when(F.col(k) < 0.5, F.col("ret"))) - F.avg(F.when(F.col(k) >= 0.5, F.col("ret")))).alias(k)
+    f = r.groupBy("idx").agg(F.avg("ret").alias("mkt"), *[spread(k) for k in known], F.lit(0.0).alias("rf"))
+    cars = panel.factor_car(r.drop(*known).join(f, "idx"), ["mkt", *known], 20).select("ticker", "idx", "car")
+    e = t.disclosures(spark, d).where("tx_type = 'PURCHASE'").select("trade_id", "ticker", "filing_date")
+    e = e.join(panel.next_session(t.sessions(spark, d), strict=True).select(F.col("day").alias("filing_date"), "idx"), "filing_date")
+    return e.join(cars, ["ticker", "idx"], "left").select("trade_id", R6("car").alias("car"))
+
+
 @query("html_text", r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'gis'), '<[^>]*>', ' ', 'gs'), '\s+', ' ', 'g')) AS text FROM pages")
 def html_text(spark, d):
     return load(spark, d, "pages").select("page_id", text.plain_text(F.col("html")).alias("text"))

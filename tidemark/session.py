@@ -19,3 +19,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
     naive = {f.name: F.col(f.name).cast("timestamp") for f in df.schema if isinstance(f.dataType, T.TimestampNTZType)}
     return df.withColumns(naive) if naive else df
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a reliable checkpoint, in the folder of the session; only local sessions may do without that setting."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(f"{df.sparkSession.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tidemark-checkpoints")
+    return df.checkpoint()
