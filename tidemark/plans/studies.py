@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import market, text
-from tidemark.operators import clusters, inference, panel, portfolio, sequence
+from tidemark.operators import backtest, clusters, inference, panel, portfolio, sequence
 from tidemark.operators.asof import within
 from tidemark.operators.tables import best
 from tidemark.plans import tables as t
@@ -394,6 +394,23 @@ def carhart_car(spark, d):
     return e.join(cars, ["ticker", "idx"], "left").select("trade_id", R6("car").alias("car"))
 
 
+def _rule_positions(spark, d):
+    """Purchases as candidates of three books: all of them, those above 100,000, and all but the building sector's."""
+    e = t.disclosures(spark, d).where("tx_type = 'PURCHASE'").join(t.members(spark, d).select("member", "sector"), "member")
+    e = e.join(panel.next_session(t.sessions(spark, d), strict=True).select(F.col("day").alias("filing_date"), F.col("idx").alias("ready")), "filing_date")
+    books = F.array_compact(F.array(F.lit("all"), F.when(F.col("amount") > 100_000, "large"), F.when(F.col("sector") != "BUILDING", "without")))
+    c = e.select(F.explode(books).alias("book"), "ticker", "ready", F.col("amount").alias("priority"))
+    opens = t.prices(spark, d).join(t.sessions(spark, d), "date").select("ticker", "idx", "open")
+    return backtest.admit(c, opens, ["book"], 3), opens
+
+
+@query("rule_backtest")
+def rule_backtest(spark, d):
+    positions, opens = _rule_positions(spark, d)
+    x = backtest.nav(positions, opens, t.sessions(spark, d), ["book"], 3, 10.0)
+    return x.select("book", "idx", R6("ret").alias("ret"), R6("turnover").alias("turnover"), R6("equity").alias("equity"))
+
+
 @query("html_text", r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'gis'), '<[^>]*>', ' ', 'gs'), '\s+', ' ', 'g')) AS text FROM pages")
 def html_text(spark, d):
     return load(spark, d, "pages").select("page_id", text.plain_text(F.col("html")).alias("text"))
