@@ -116,24 +116,46 @@ def _needed(least: int, percent: int) -> int:
     return int(np.ceil(2 * percent / (100 + percent) * least - 1e-9))
 
 
-def _distinct(least: int):
-    """The shingles in and near the windows of the cells of each text, and the first place of each."""
+def _batched(found):
+    """Rows ``(key, doc, place)`` of what ``found`` yields a text, handed on when more than KEYS are held."""
+
+    def rows(held: list) -> pd.DataFrame:
+        ids, keys, places = zip(*held, strict=True)
+        doc = np.repeat(np.array(ids, np.int64), [len(k) for k in keys])
+        return pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "doc": doc, "place": np.concatenate(places).astype(np.int32)})
 
     def run(frames):
+        held, n = [], 0
         for pdf in frames:
-            for i, h in token_hashes(pdf["text"].tolist()):
-                s = shingles(h, WIDTH)
-                inside = np.zeros(len(s) + 1, np.int32)
-                for x in (*pdf["cells"].iat[i], *pdf["near"].iat[i]):
-                    inside[max(0, x["lo"] - least // 4)] += 1
-                    inside[min(len(s), x["hi"] + least + least // 4)] -= 1
-                at = np.flatnonzero(np.cumsum(inside[:-1]))
-                found, first = np.unique(s[at], return_index=True)
-                yield pd.DataFrame({"key": found.view(np.int64), "doc": pdf["doc_id"].iat[i], "place": at[first].astype(np.int32)})
+            for x in found(pdf):
+                held.append(x)
+                n += len(x[1])
+                if n > KEYS:
+                    yield rows(held)
+                    held, n = [], 0
+        if held:
+            yield rows(held)
 
     return run
 
 
+def _distinct(least: int):
+    """The shingles in and near the windows of the cells of each text, and the first place of each."""
+
+    def found(pdf):
+        for i, h in token_hashes(pdf["text"].tolist()):
+            s = shingles(h, WIDTH)
+            inside = np.zeros(len(s) + 1, np.int32)
+            for x in (*pdf["cells"].iat[i], *pdf["near"].iat[i]):
+                inside[max(0, x["lo"] - least // 4)] += 1
+                inside[min(len(s), x["hi"] + least + least // 4)] -= 1
+            at = np.flatnonzero(np.cumsum(inside[:-1]))
+            keys, first = np.unique(s[at], return_index=True)
+            yield pdf["doc_id"].iat[i], keys, at[first]
+
+    return _batched(found)
+
+
 def rare_places(count: np.ndarray, starts: np.ndarray, least: int, percent: int) -> np.ndarray:
     """Places of the rarest shingles of the windows at ``starts``, of which one at least is matched wherever a window is.
 
@@ -147,20 +169,18 @@ def rare_places(count: np.ndarray, starts: np.ndarray, least: int, percent: int)
 
 
 def _probes(least: int, percent: int):
-    def run(frames):
-        for pdf in frames:
-            for i, h in token_hashes(pdf["text"].tolist()):
-                s = shingles(h, WIDTH)
-                shared = np.array(pdf["shared"].iat[i], np.int64).view(np.uint64)
-                order = np.argsort(shared)
-                at = np.minimum(np.searchsorted(shared, s, sorter=order), len(shared) - 1)
-                count = np.where(shared[order][at] == s, np.array(pdf["counts"].iat[i], np.int64)[order][at], 1)
-                starts = np.unique(np.concatenate([np.arange(x["lo"], x["hi"] + 1) for x in pdf["cells"].iat[i]]))
-                at = rare_places(count, starts, least, percent)
-                if len(at):
-                    yield pd.DataFrame({"key": s[at].view(np.int64), "doc": pdf["doc_id"].iat[i], "place": at.astype(np.int32)})
-
-    return run
+    def found(pdf):
+        for i, h in token_hashes(pdf["text"].tolist()):
+            s = shingles(h, WIDTH)
+            shared = np.array(pdf["shared"].iat[i], np.int64).view(np.uint64)
+            order = np.argsort(shared)
+            at = np.minimum(np.searchsorted(shared, s, sorter=order), len(shared) - 1)
+            count = np.where(shared[order][at] == s, np.array(pdf["counts"].iat[i], np.int64)[order][at], 1)
+            starts = np.unique(np.concatenate([np.arange(x["lo"], x["hi"] + 1) for x in pdf["cells"].iat[i]]))
+            at = rare_places(count, starts, least, percent)
+            yield pdf["doc_id"].iat[i], s[at], at
+
+    return _batched(found)
 
 
 def passages(a: np.ndarray, b: np.ndarray, least: int, percent: int, order: np.ndarray | None = None) -> list[tuple[int, int, int, int, float]]:
