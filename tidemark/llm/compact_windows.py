@@ -306,9 +306,13 @@ def links(docs: DataFrame, min_words: int = 50, percent: int = 80, id_col: str =
     """The verified passages between different texts (a row each, the columns of ``PASSAGES``), and the copies ``(doc_id, rep, n)``."""
     least = min_words - WIDTH + 1
     docs = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ids = cut(docs.select("doc_id", F.md5("text").alias("h"), F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")).cast("long").alias("n")), "ids")
-    first = ids.groupBy("h").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
-    copies = cut(ids.join(first, "h").where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("n").alias("n")), "copies")
+    same = F.md5("text").alias("h")
+    ids = cut(docs.select("doc_id", same), "ids")
+    first = cut(ids.groupBy("h").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"), "first")
+    # words are counted in one text of each group of copies only
+    words = F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")).cast("long")
+    sizes = only(docs, first.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select(same, "text").join(first.select("h"), "h", "left_semi").groupBy("h").agg(F.max(words).alias("n"))
+    copies = cut(ids.join(first.join(sizes, "h"), "h").where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("n").alias("n")), "copies")
     found: list[DataFrame] = []
     tested: list[DataFrame] = []
     whole = lambda tables: functools.reduce(DataFrame.union, tables)
