@@ -127,13 +127,13 @@ def event_drift(spark, d):
 
 
 @query("daily_context", """disc, rets: WITH p AS (SELECT ticker, date, close, CASE WHEN count(ret) OVER w = 20 THEN stddev_samp(ret) OVER w END AS vol, avg(close * volume) OVER w AS adv FROM rets WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
-  SELECT trade_id, round(close + 1e-7, 4) AS prior_close, round(vol, 6) AS vol20, round(adv, 3) AS adv20 FROM disc ASOF LEFT JOIN p ON p.ticker = disc.ticker AND disc.filing_date > p.date""")
+  SELECT trade_id, round(close + 1e-7, 4) AS prior_close, round(vol, 6) AS vol20, round(adv + 1e-5, 2) AS adv20 FROM disc ASOF LEFT JOIN p ON p.ticker = disc.ticker AND disc.filing_date > p.date""")
 def daily_context(spark, d):
     """Close, volatility and dollar volume as of the last session before the event."""
     w = trailing("ticker", "date", 20, lag=0)
     p = t.returns(t.prices(spark, d)).select("ticker", "date", "close", F.when(F.count("ret").over(w) == 20, F.stddev_samp("ret").over(w)).alias("vol"), F.avg(F.col("close") * F.col("volume")).over(w).alias("adv"))
     e = asof(t.disclosures(spark, d), p, ["ticker"], "filing_date", "date", ["close", "vol", "adv"], strict=True)
-    return e.select("trade_id", F.round(F.col("close") + 1e-7, 4).alias("prior_close"), R6("vol").alias("vol20"), F.round("adv", 3).alias("adv20"))
+    return e.select("trade_id", F.round(F.col("close") + 1e-7, 4).alias("prior_close"), R6("vol").alias("vol20"), F.round(F.col("adv") + 1e-5, 2).alias("adv20"))
 
 
 @query("matched_controls", """brets: WITH h AS (SELECT *, md5(ticker || '|' || epoch(ts)::BIGINT) AS h FROM brets), r AS (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY h) AS a, row_number() OVER (PARTITION BY ticker, hour(ts) ORDER BY h) AS b FROM h)
