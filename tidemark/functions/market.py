@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import sys
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +57,60 @@ def t_stat(x: str) -> Column:
     return F.when((n > 2) & (sd > 0), F.avg(x) / (sd / F.sqrt(n)))
 
 
+#: Fixed value: parts into which a range of values is cut.
+PARTS = 1024
+
+
+def quantiles(df: DataFrame, x: str, points: list[float]) -> list[float | None]:
+    """Exact quantiles with linear interpolation, NULL left out, NaN last; without values each is None.
+
+    The range that holds a wanted rank is cut into parts, by sign or of equal width, rows are counted by part, and the part with the rank is cut
+    in its turn, down to single values. The least and the greatest value of a range always part, so every round goes on. Memory is bounded by the parts, not by
+    the distinct values; each round reads the column once.
+    """
+    v = df.where(F.col(x).isNotNull()).select(F.col(x).cast("double").alias("v"))
+    n, low, high = v.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return [None] * len(points)
+    places = [(math.floor((n - 1) * p), math.ceil((n - 1) * p), (n - 1) * p) for p in points]
+    at, open_ = {}, {(low, high): (0, sorted({r for lo, hi, _ in places for r in (lo, hi)}))}
+    while open_:
+        for (low, high), (_, ranks) in open_.items():
+            if low == high or math.isnan(low):
+                at |= dict.fromkeys(ranks, low)
+        ranges = [(low, high, *rest) for (low, high), rest in open_.items() if rest[1][0] not in at]
+        if not ranges:
+            break
+        which, part = F, F
+        for i, (low, high, _, _) in enumerate(ranges):
+            inside = F.col("v").between(low, high)
+            which, part = which.when(inside, i), part.when(inside, _part(F.col("v"), low, high))
+        counts = v.select("v", which.alias("i"), part.alias("p")).where("i is not null").groupBy("i", "p").agg(F.count("*").alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
+        open_ = {}
+        found = sorted((r.i, r.p, r.c, r.low, r.high) for r in counts.collect())
+        for i, (_, _, before, ranks) in enumerate(ranges):
+            for _, _, c, low, high in (f for f in found if f[0] == i):
+                if inner := [r for r in ranks if before <= r < before + c]:
+                    open_[low, high] = (before, inner)
+                before += c
+    return [at[lo] if at[lo] == at[hi] else (hi - place) * at[lo] + (place - lo) * at[hi] for lo, hi, place in places]
+
+
+def _part(v: Column, low: float, high: float) -> Column:
+    """The part of ``v`` in a range, never falling as ``v`` grows; infinite values and NaN have parts of their own."""
+    ends = F.when(F.isnan(v), PARTS + 2).when(v == math.inf, PARTS + 1).when(v == -math.inf, -1)
+    low, high = max(low, -sys.float_info.max), sys.float_info.max if math.isnan(high) else min(high, sys.float_info.max)
+    if high <= low:
+        return ends.otherwise(0)
+    if low <= 0 <= high:
+        return ends.otherwise(F.signum(v).cast("int"))
+    if high < 0:
+        return ends.otherwise(-_part(-v, -high, -low))
+    f = F.ln if high / PARTS > low else lambda c: c  # steep ranges by the logarithm
+    start, end = f(F.lit(low)), f(F.lit(high))
+    return ends.otherwise(F.floor((f(v) - start) / (end - start) * PARTS).cast("int"))
+
+
 def quantile_table(df: DataFrame, x: str, bins: int) -> DataFrame:
     """Count and mean by quantile bin; bins come from the empirical edges, so equal values share one."""
     edges = df.agg(F.array(*[F.percentile(x, i / bins) for i in range(1, bins)]).alias("__q"))

@@ -251,8 +251,8 @@ def decile_table(spark, d):
 @query("tercile_split", "disc: WITH e AS (SELECT quantile_cont(amount, 0.33) AS lo, quantile_cont(amount, 0.67) AS hi FROM disc) SELECT CASE WHEN amount <= lo THEN 'low' WHEN amount >= hi THEN 'high' ELSE 'mid' END AS part, count(*) AS n FROM disc, e GROUP BY 1")
 def tercile_split(spark, d):
     x = t.disclosures(spark, d)
-    e = x.agg(F.percentile("amount", 0.33).alias("lo"), F.percentile("amount", 0.67).alias("hi"))
-    return x.crossJoin(e).groupBy(F.when(F.col("amount") <= F.col("lo"), "low").when(F.col("amount") >= F.col("hi"), "high").otherwise("mid").alias("part")).agg(F.count("*").alias("n"))
+    lo, hi = (F.lit(q).cast("double") for q in market.quantiles(x, "amount", [0.33, 0.67]))
+    return x.groupBy(F.when(F.col("amount") <= lo, "low").when(F.col("amount") >= hi, "high").otherwise("mid").alias("part")).agg(F.count("*").alias("n"))
 
 
 @query("coverage_grouping_sets", "disc: SELECT coalesce(tx_type, 'ALL') AS tx_type, coalesce(CAST(year(filing_date) AS VARCHAR), 'ALL') AS yr, count(*) AS n, round(avg(CASE WHEN ticker IS NULL THEN 0.0 ELSE 1.0 END), 6) AS coverage, count(*) >= 30 AS enough FROM disc GROUP BY GROUPING SETS ((tx_type), (year(filing_date)), (tx_type, year(filing_date)), ())")
