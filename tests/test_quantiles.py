@@ -42,3 +42,11 @@ def test_quantiles_of_infinite_values_nan_and_nothing(spark):
 def test_tercile_split_holds_no_map_of_distinct_values(spark):
     x = relational.tercile_split(spark, "/root/testdata/sf0.001")
     assert "percentile" not in plan(x) and sum(r.n for r in x.collect()) == 1500
+
+
+def test_decile_table_holds_no_map_of_distinct_values(spark):
+    df = spark.createDataFrame([(float(v),) for v in range(11)] + [(None,)], "x double")
+    x = market.quantile_table(df, "x", 10)
+    assert "percentile" not in plan(x)
+    assert {(r.bin, r.n, r["mean"]) for r in x.collect()} == {(0, 3, 0.5), *((b, 1, b + 1.0) for b in range(1, 9)), (9, 1, 10.0)}
+    assert market.quantile_table(df.where("x is null"), "x", 10).collect() == [(0, 1, None)]

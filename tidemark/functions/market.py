@@ -113,9 +113,9 @@ def _part(v: Column, low: float, high: float) -> Column:
 
 def quantile_table(df: DataFrame, x: str, bins: int) -> DataFrame:
     """Count and mean by quantile bin; bins come from the empirical edges, so equal values share one."""
-    edges = df.agg(F.array(*[F.percentile(x, i / bins) for i in range(1, bins)]).alias("__q"))
-    b = F.size(F.filter("__q", lambda q: F.col(x) > q))
-    return df.crossJoin(edges).groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg(x), 4).alias("mean"))
+    edges = F.array(*[F.lit(q).cast("double") for q in quantiles(df, x, [i / bins for i in range(1, bins)])])
+    b = F.size(F.filter(edges, lambda q: F.col(x) > q))
+    return df.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg(x), 4).alias("mean"))
 
 
 def mid(bid: Column, ask: Column) -> Column:
