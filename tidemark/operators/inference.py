@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
@@ -43,11 +44,24 @@ def hac(df: DataFrame, by: list[str], at: str, x: str, lags: int = 5) -> DataFra
 POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
 
 
+def draw_hash(cluster: str, seed: int) -> Column:
+    """The first 32 bits of a hash of (seed, draw, cluster) as hex digits, the same on every run and on every machine."""
+    return F.substring(F.md5(F.concat_ws("|", F.lit(seed), "draw", F.col(cluster).cast("string"))), 1, 8)
+
+
+#: The least hashes of weights from one to eight, as hex digits; those in order are numbers in order.
+LEAST = tuple(f"{math.ceil(p * 2**32):08x}" for p in POISSON)
+
+
+def draw_weight(h: str) -> Column:
+    """The Poisson(1) weight of a hash."""
+    return sum((F.when(F.col(h) >= least, 1).otherwise(0) for least in LEAST), F.lit(0))
+
+
 def draw_weights(clusters: DataFrame, cluster: str, draws: int, seed: int, weight: str) -> DataFrame:
-    """``(cluster, draw, weight)``: Poisson(1) weights from a hash of (seed, draw, cluster), the same on every run and on every machine."""
+    """``(cluster, draw, weight)`` of every cluster in every draw."""
     d = clusters.select(cluster).distinct().withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "draw", F.col(cluster).cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    return d.withColumn(weight, sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0)))
+    return d.withColumn("__h", draw_hash(cluster, seed)).withColumn(weight, draw_weight("__h")).drop("__h")
 
 
 def _interval(means: DataFrame, df: DataFrame, x: str, least: int) -> DataFrame:
@@ -69,12 +83,16 @@ def cluster_bootstrap(df: DataFrame, cluster: str, x: str, draws: int = 2000, se
 def two_way_bootstrap(df: DataFrame, one: str, two: str, x: str, draws: int = 2000, seed: int = 23, least: int = 20) -> DataFrame:
     """The same by two crossed ways: a row weighs the product of the weights of its two clusters, drawn apart.
 
-    Cells of both ways are summed first; each meets the two weights of every draw.
+    Cells of both ways are summed first and stand together by the first way, whose weights are computed where they stand; what is left per
+    cluster of the second way and draw gets its weight in the same manner. No table of weights is made, so none is joined or broadcast.
     """
-    g = df.groupBy(one, two).agg(F.sum(x).alias("__s"), F.count(x).alias("__c"))
-    a, b = draw_weights(g, one, draws, seed, "wa").where("wa > 0"), draw_weights(g, two, draws, seed + 1, "wb").where("wb > 0")
-    j = g.join(a, one).join(b, [two, "draw"]).withColumn("w", F.col("wa") * F.col("wb"))
-    means = j.groupBy("draw").agg(F.try_divide(F.sum(F.col("w") * F.col("__s")), F.sum(F.col("w") * F.col("__c"))).alias("m"))
+    g = df.where(F.col(one).isNotNull() & F.col(two).isNotNull()).groupBy(one, two).agg(F.sum(x).alias("__s"), F.count(x).alias("__c"))
+    own = g.groupBy(one).agg(F.collect_list(F.struct(F.col(two).alias("__two"), "__s", "__c")).alias("__cells"))
+    drawn = own.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("__h", draw_hash(one, seed)).where(F.col("__h") >= LEAST[0])
+    cells = drawn.select("draw", draw_weight("__h").alias("w"), F.inline("__cells"))
+    part = cells.groupBy("__two", "draw").agg(F.sum(F.col("w") * F.col("__s")).alias("__s"), F.sum(F.col("w") * F.col("__c")).alias("__c"))
+    part = part.withColumn("__h", draw_hash("__two", seed + 1)).where(F.col("__h") >= LEAST[0]).withColumn("w", draw_weight("__h"))
+    means = part.groupBy("draw").agg(F.try_divide(F.sum(F.col("w") * F.col("__s")), F.sum(F.col("w") * F.col("__c"))).alias("m"))
     return _interval(means, df, x, least)
 
 
