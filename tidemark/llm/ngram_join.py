@@ -18,6 +18,8 @@ allow a link come out. Its largest component is not compared with itself. No pai
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -32,6 +34,8 @@ STEP = 1.5
 SMALL = 32
 #: Members of a block of a large group.
 BLOCK = 256
+#: Slices of the keys of parts that are counted and joined one after the other.
+SLICES = 4
 
 
 def bands(n: int, percent: int) -> list[tuple[int, int, int]]:
@@ -178,7 +182,7 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str =
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = cut(docs.where("doc_id is not null").mapInPandas(_sketched(width, percent), SKETCHES), "sketches")
-    sets = rows.where("first").select("doc_id", "n", "h1", "h2")
+    sets = cut(rows.where("first").select("doc_id", "n", "h1", "h2"), "sets")
     copies = sets.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
     copied = cut(sets.join(copies, ["n", "h1", "h2"]).where("doc_id <> rep").select("doc_id", "rep").groupBy("doc_id").agg(F.min("rep").alias("rep")), "copied")
     # several texts under one id are not told apart by their parts: such an id is looked up by all of them
@@ -188,17 +192,26 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str =
         whole = whole.join(again.withColumn("more", F.lit(True)), "doc_id", "left").withColumn("need", F.when(F.col("more"), 1).otherwise(F.col("need"))).drop("more")
     keys = without(whole, copied.select("doc_id"), "doc_id").select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"), F.col("band").cast("byte").alias("band"), F.col("need").cast("int").alias("need"))
 
-    # counts are summed before they are shuffled, so that a part that a third of all texts has is no hot row
-    common = cut(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "common")
-    shared = keys.join(common, "key")
+    # counts are summed before they are shuffled, so that a part that a third of all texts has is no hot row; slices of the keys follow each
+    # other, so that only one slice is shuffled at a time
+    found = []
+    for i in range(SLICES):
+        some = keys.where(F.pmod("key", F.lit(SLICES)) == i)
+        common = cut(some.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "common")
+        found.append(cut(some.join(common, "key"), "found"))
+        discard(common)
+    # the sketches with all their parts are the largest table; the result needs only the sets
+    bits = cut(rows.where("first and n > 0").select(F.col("doc_id").alias("id"), "n", "bits").dropDuplicates(["id"]), "bits")
+    discard(rows)
+    shared = functools.reduce(DataFrame.union, found)
     own = Window.partitionBy("doc", "band")
     rank = F.row_number().over(own.orderBy("m", "key"))
     kept = shared.withColumns({"r": rank, "s": F.count("*").over(own)}).where(F.col("r") <= F.col("s") - F.col("need") + 1).select("key", "doc")
     kept = cut(kept, "kept")
+    discard(*found)
     groups = kept.groupBy("key").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last")).where("pivot <> last").select("key", "pivot")
     shared = cut(kept.join(groups, "key"), "shared")
-    discard(kept, common)
-    bits = cut(rows.where("first and n > 0").select(F.col("doc_id").alias("id"), "n", "bits").dropDuplicates(["id"]), "bits")
+    discard(kept)
     tested = cut(shared.where("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
     if not again.isEmpty():
         bits = cut(without(bits, again.withColumnRenamed("doc_id", "id"), "id"), "bits")
