@@ -123,3 +123,29 @@ def test_carhart_query_gives_returns_where_prices_allow(spark):
     d = "/root/testdata/sf0.01"
     got = [r.car for r in studies.carhart_car(spark, d).collect()]
     assert len(got) > 4000 and 0 < sum(x is not None for x in got) < len(got)
+
+
+def test_unlike_headlines_of_one_publisher_are_no_candidates(spark):
+    """A publisher's headlines of one day share an entity; compared are only those that share three quarters of the shorter one's words, and none of these is missed."""
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(words, int(rng.integers(1, 16)))) for _ in range(150)]
+    texts += [" ".join([w for w in t.split() if rng.random() > 0.15] + ["more"] * int(rng.integers(0, 2))) for t in texts]
+    at = dt.datetime(2026, 1, 2)
+    df = spark.createDataFrame([(f"e{i:03}", f"u{i}", at + dt.timedelta(minutes=i), t, ["T"]) for i, t in enumerate(texts)], "event_id string, identity string, public_time timestamp, title string, tickers array<string>")
+    r = clusters.checkpointed(clusters.revisions(df).withColumn("id", F.monotonically_increasing_id()))
+    event = {x.id: x.events[0] for x in r.collect()}
+    got = {tuple(sorted((event[x.one], event[x.two]))) for x in clusters.candidates(r).collect()}
+    sets = [set(t.split()) for t in texts]
+    want = {(f"e{i:03}", f"e{j:03}") for j in range(len(sets)) for i in range(j) if sets[i] and sets[j] and 4 * len(sets[i] & sets[j]) >= 3 * min(len(sets[i]), len(sets[j]))}
+    assert want <= got and len(want) > 100 and len(got) < 2 * len(want)
+
+
+def test_a_long_chain_is_one_component_in_few_rounds(spark, monkeypatch):
+    """Labels that went one edge a round took about as many rounds as half the chain, and the planned size doubled its digits in each."""
+    names = [str(x) for x in np.random.default_rng(2).permutation(np.arange(1000, 1400))]
+    edges = spark.createDataFrame(list(zip(names, names[1:], strict=False)) + [("a", "b")], "early string, late string")
+    made, stored = [], clusters.stored
+    monkeypatch.setattr(clusters, "stored", lambda df: made.append(1) or stored(df))
+    got = {x.rev: x.component for x in clusters.connected(edges).collect()}
+    assert got == {**dict.fromkeys(names, "1000"), "a": "a", "b": "a"} and len(made) < 40

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions import text
 from tidemark.operators.asof import within
-from tidemark.session import checkpointed
+from tidemark.session import checkpointed, removed, stored
 
 #: A cluster spans at most so many seconds; alike by words, or by letters and the words of the shorter one.
 SPAN, JACCARD, LETTERS, WORDS = 12 * 3600, 0.72, 0.88, 0.75
@@ -53,34 +53,58 @@ def letters(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def candidates(r: DataFrame) -> DataFrame:
+    """``(one, two)``, each pair once: ids of revisions within the span of which one may hold three quarters of the other's words, as all that read alike do.
+
+    Of two such headlines the one with fewer words, n, shares a word among its n // 4 + 1 rarest with the other, so it is looked up by these
+    only. Each word sets one of 128 bits; bits that the other one lacks are words that it lacks, and more than n // 4 are too many.
+    """
+    words = r.where(F.size("w") > 0).select("id", F.timestamp_micros("at").alias("t"), F.explode(F.transform("w", lambda x: F.xxhash64(x))).alias("word"))
+    ranked = words.join(words.groupBy("word").agg(F.count("*").alias("c")), "word").groupBy("id", "t").agg(F.array_sort(F.collect_list(F.struct("c", "word"))).alias("k"))
+    ranked = ranked.select("id", "t", F.size("k").alias("n"), F.transform("k", lambda x: x["word"]).alias("h"))
+    half = lambda k: F.expr(f"aggregate(h, 0L, (b, x) -> b | if(pmod(x, 128) div 64 = {k}, shiftleft(1L, cast(pmod(x, 64) as int)), 0L))").alias(f"b{k}")
+    ranked = checkpointed(ranked.select("*", half(0), half(1)))
+    side = lambda who, h: ranked.select(F.explode(h).alias("word"), *[F.col(c).alias(f"{c}_{who}") for c in ("id", "t", "n", "b0", "b1")])
+    x = within(side("all", F.col("h")), side("few", F.slice("h", F.lit(1), F.floor(F.col("n") / 4).cast("int") + 1)), ["word"], "t_all", "t_few", SPAN, SPAN)
+    lacks = F.bit_count(F.col("b0_few").bitwiseAND(F.bitwise_not("b0_all"))) + F.bit_count(F.col("b1_few").bitwiseAND(F.bitwise_not("b1_all")))
+    gap = F.abs(F.unix_micros("t_all") - F.unix_micros("t_few"))
+    x = x.where((F.col("n_few") <= F.col("n_all")) & (F.col("id_few") != F.col("id_all")) & (gap <= SPAN * 1_000_000) & (lacks <= F.floor(F.col("n_few") / 4)))
+    return x.select(F.least("id_few", "id_all").alias("one"), F.greatest("id_few", "id_all").alias("two")).distinct()
+
+
 def alike(r: DataFrame) -> DataFrame:
-    """``(early, late)`` of revisions of different identity within the span that share an entity and read alike."""
-    at = F.timestamp_micros(F.col("at"))
-    keys = r.where(F.size("w") > 0).select(F.explode("entities").alias("entity"), "rev", at.alias("t"))
-    side = lambda n: keys.select("entity", F.col("rev").alias(n), F.col("t").alias(f"t_{n}"))
-    pairs = within(side("early"), side("late"), ["entity"], "t_early", "t_late", 0, SPAN)
-    pairs = pairs.where("struct(t_early, early) < struct(t_late, late) and t_late - t_early <= interval 12 hours").select("early", "late").distinct()
-    wide = lambda n: r.select(F.col("rev").alias(n), F.col("identity").alias(f"i_{n}"), F.col("norm").alias(f"n_{n}"), F.col("w").alias(f"w_{n}"))
-    x = pairs.join(wide("early"), "early").join(wide("late"), "late").where("i_early <> i_late")
-    x = x.withColumns({"j": text.jaccard(F.col("w_early"), F.col("w_late")), "c": text.containment(F.col("w_early"), F.col("w_late"))})
+    """``(early, late)`` of revisions of different identity within the span that share an entity and read alike. ``r`` has an ``id`` too, fixed from read to read."""
+    wide = lambda n: r.select(F.col("id").alias(n), F.struct("at", "rev").alias(f"o_{n}"), *[F.col(c).alias(f"{c}_{n}") for c in ("identity", "norm", "w", "entities")])
+    x = candidates(r).join(wide("one"), "one").join(wide("two"), "two").where("identity_one <> identity_two").where(F.arrays_overlap("entities_one", "entities_two"))
+    x = x.withColumns({"j": text.jaccard(F.col("w_one"), F.col("w_two")), "c": text.containment(F.col("w_one"), F.col("w_two"))})
+    first = F.col("o_one") < F.col("o_two")
+    pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
+    x = x.select(pick("o_one.rev", "o_two.rev").alias("early"), pick("o_two.rev", "o_one.rev").alias("late"), pick("norm_one", "norm_two").alias("n_early"), pick("norm_two", "norm_one").alias("n_late"), "j", "c")
     # letters are compared only where words do not settle it
     sure = x.where(F.col("j") >= JACCARD)
     rest = x.where((F.col("j") < JACCARD) & (F.col("c") >= WORDS)).where(letters("n_late", "n_early") >= LETTERS)
     return sure.select("early", "late").union(rest.select("early", "late"))
 
 
-def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(rev, component)``, the smallest id that edges reach. Labels go along edges and then to the label of the label; lineage is cut every round."""
-    edges = checkpointed(edges.select("early", "late").union(edges.select("late", "early")).toDF("rev", "other").distinct())
-    labels, before = nodes.select("rev", F.col("rev").alias("component")), None
+def connected(edges: DataFrame) -> DataFrame:
+    """``(rev, component)`` of all revisions with an edge, ``component`` the smallest that edges reach.
+
+    All neighbours above a revision are tied to its least one, then its neighbours below: about as many rounds as the logarithm of the longest path.
+    Each round is a table of its own. A checkpoint keeps the estimated size, which joins multiply: it had twice the digits after every round.
+    """
+    edges, before = stored(edges.select(F.greatest("early", "late").alias("u"), F.least("early", "late").alias("v")).where("u <> v").distinct()), None
     while True:
-        near = edges.join(labels.withColumnRenamed("rev", "other"), "other").groupBy("rev").agg(F.min("component").alias("m"))
-        labels = labels.join(near, "rev", "left").select("rev", F.least("component", F.coalesce("m", "component")).alias("component"))
-        jump = labels.select(F.col("rev").alias("component"), F.col("component").alias("further"))
-        labels = checkpointed(labels.join(jump, "component").select("rev", F.least("component", "further").alias("component")))
-        now = labels.agg(F.sum(F.xxhash64("rev", "component").cast("decimal(38,0)"))).first()
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        above = stored(both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = above.groupBy("u").agg(F.min("v").alias("m"))
+        below = above.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        after = stored(below.union(low.select("u", F.col("m").alias("v"))).distinct())
+        removed(edges, above)
+        edges = after
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
-            return labels
+            return edges.select(F.col("u").alias("rev"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct())
         before = now
 
 
@@ -120,18 +144,22 @@ def _capped(pdf: pd.DataFrame) -> pd.DataFrame:
 def catalysts(articles: DataFrame, version: str = "v1") -> DataFrame:
     """``(catalyst_id, event_id, public_time, earliest)``: each event with its cluster, named after build version and earliest article.
 
-    Candidates share an entity and lie within the span; connected ones go to one task, where merges are made in order of time, because the cap
-    on the span makes them depend on their order.
+    Candidates are found by their rarest words; connected ones go to one task, where merges are made in order of time, because the cap
+    on the span makes them depend on their order. An article without a link is its own cluster and goes nowhere.
     """
-    r = checkpointed(revisions(articles))
+    # words are split again where they are needed: in the table they would take more room than all the rest
+    r = checkpointed(revisions(articles).drop("w").withColumn("id", F.monotonically_increasing_id())).withColumn("w", text.tokens(F.col("norm")))
     pairs = checkpointed(alike(r))
     same = r.select("identity", F.col("rev").alias("late")).join(r.groupBy("identity").agg(F.min("rev").alias("early"), F.count("*").alias("n")).where("n > 1"), "identity").where("early <> late")
-    label = connected(r, pairs.union(same.select("early", "late")))
+    label = connected(pairs.union(same.select("early", "late")))
     earlier = pairs.groupBy(F.col("late").alias("rev")).agg(F.collect_list("early").alias("earlier"))
-    nodes = r.select("rev", "identity", "at").join(label, "rev").join(earlier, "rev", "left").withColumn("earlier", F.coalesce("earlier", F.array().cast("array<string>")))
+    linked = r.select("rev", "identity", "at").join(label, "rev")
+    nodes = linked.join(earlier, "rev", "left").withColumn("earlier", F.coalesce("earlier", F.array().cast("array<string>")))
     found = nodes.groupBy("component").applyInPandas(_capped, "rev string, anchor_at long, anchor string")
+    alone = r.join(label, "rev", "left_anti").select("at", "events", F.col("at").alias("anchor_at"), F.col("identity").alias("anchor"))
+    found = found.join(r.select("rev", "at", "events"), "rev").select("at", "events", "anchor_at", "anchor").union(alone)
     name = F.substring(F.sha1(F.concat_ws("|", F.lit(version), "anchor", F.col("anchor_at").cast("string"))), 1, 20)
-    out = found.join(r.select("rev", "at", F.explode("events").alias("event_id")), "rev")
+    out = found.select("*", F.explode("events").alias("event_id"))
     return out.select(name.alias("catalyst_id"), "event_id", F.timestamp_micros("at").alias("public_time"), F.timestamp_micros("anchor_at").alias("earliest"))
 
 
