@@ -490,3 +490,12 @@ def test_pipeline_mixture_keeps_rows_apart(spark, odd, none):
             after = stage(spark, docs, D)
             assert after.columns == docs.columns and after.count() <= docs.count()
         cp.mixture(spark, docs, D).count()
+
+
+def test_op10_groups_of_the_same_copies_are_compared_once(spark):
+    """Forty groups of 600 members, nearly the same: one unit of 640 members instead of 24,000 rows. Groups that only one member connects stay apart."""
+    near = [(k, d, 0 if d < 100 else d) for k in range(40) for d in range(k, k + 600)]
+    loose = [(1000 + k, 10_000 + d, 10_000 + d) for k in range(6) for d in range(k * 599, k * 599 + 600)]
+    units = [tuple(x) for x in ngram_join._units(spark.createDataFrame(near + loose, "key long, doc long, c long")).collect()]
+    assert sorted(x[1:] for x in units if not x[0]) == sorted(loose)
+    assert sorted(x[1:] for x in units if x[0]) == sorted({(0, d, c) for _, d, c in near})

@@ -12,7 +12,7 @@ of parts is joined on equality, compared by the Hamming distance of a short sket
 
 Equal sets are first put behind one representative. In each group of equal parts the members are compared with the smallest id.
 Only groups that hold several components after that are looked into again, each set of members once. Small ones give their pairs of different
-components; a large one is cut into blocks, and each pair of blocks is one task's worth of sketches, so that only pairs whose sketches
+components; large ones that are connected by members are one group, where that is less work, and such a group is cut into blocks, and each pair of blocks is one task's worth of sketches, so that only pairs whose sketches
 allow a link come out. Its largest component is not compared with itself. No pair is lost.
 """
 
@@ -22,7 +22,7 @@ import functools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, cut, discard, only, without
@@ -159,6 +159,35 @@ def _block_pairs(percent: int):
     return run
 
 
+def _blocks(size: Column) -> Column:
+    return F.ceil(size / BLOCK).cast("int")
+
+
+def _sizes(members: DataFrame, *by: str) -> DataFrame:
+    """Members ``m`` of each group and its largest component ``top``."""
+    each = members.groupBy(*by, "c").agg(F.count("*").alias("size"))
+    return each.groupBy(*by).agg(F.sum("size").alias("m"), F.max(F.struct("size", "c")).alias("top"))
+
+
+def _units(many: DataFrame) -> DataFrame:
+    """``(whole, key, doc, c)``: what large groups ``(key, doc, c)`` are compared as.
+
+    Near copies meet in nearly all their parts, so that hundreds of groups hold the same members but for a few, and each pair would be
+    compared in each of them. Groups that are connected by members are therefore one group, unless the blocks of its members come to more
+    rows than those of all its groups.
+    """
+    pivots = many.groupBy("key").agg(F.min("doc").alias("p"))
+    cluster = cut(components(many.join(pivots, "key").where("doc <> p").select("doc", "p"), "doc", "p"), "clusters")
+    many = cut(many.join(cluster.toDF("doc", "cluster"), "doc"), "placed")
+    together = many.select("cluster", "doc", "c").distinct()
+    size, rest = F.col("top.size"), F.col("m") - F.col("top.size")
+    rows = F.sum(size * _blocks(rest) + rest * (_blocks(size) + _blocks(rest)))
+    apart_, whole = (_sizes(x, *by).groupBy("cluster").agg(rows.alias(n)) for x, by, n in ((many, ("cluster", "key"), "each"), (together, ("cluster",), "once")))
+    better = cut(apart_.join(whole, "cluster").where("once <= each").select("cluster"), "whole")
+    found = only(together, better, "cluster").select(F.lit(True).alias("whole"), F.col("cluster").alias("key"), "doc", "c")
+    return cut(found.union(without(many, better, "cluster").select(F.lit(False), "key", "doc", "c")), "units")
+
+
 def _verified(pairs: DataFrame, bits: DataFrame, docs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
     """The links among candidates ``(a, b)``. ``bits`` has ``(id, n, bits)`` once for each id."""
     side = lambda x: bits.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"s{x}"))
@@ -228,14 +257,16 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str =
     pairs = few.select("key", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")).join(few.select("key", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")), "key")
     pairs = pairs.where("a < b and ca <> cb").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b").distinct()
     # the largest component of a large group meets only the others, never itself: blocks of it have numbers below zero
-    count = named.where(F.col("m") > SMALL).groupBy("key", "c").agg(F.count("*").alias("size"))
-    large = count.groupBy("key").agg(F.max(F.struct("size", "c")).alias("top"))
-    many = named.where(F.col("m") > SMALL).join(large, "key").withColumns({"own": F.ceil(F.col("top.size") / BLOCK).cast("int"), "blocks": F.ceil((F.col("m") - F.col("top.size")) / BLOCK).cast("int")})
-    inside, h = F.col("c") == F.col("top.c"), F.xxhash64("doc")
-    many = many.withColumn("b", F.when(inside, -1 - F.pmod(h, F.col("own"))).otherwise(F.pmod(h, F.col("blocks"))).cast("int"))
-    many = many.withColumn("o", F.explode(F.sequence(F.when(inside, 0).otherwise(-F.col("own")), F.col("blocks") - 1)))
-    dealt = many.select("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", F.col("doc").alias("id"), "c", "n", "bits")
-    pairs = pairs.union(dealt.groupBy("key", "i", "j").applyInPandas(_block_pairs(percent), "a long, b long"))
+    many = named.where(F.col("m") > SMALL).select("key", "doc", "c")
+    if not many.isEmpty():
+        units = _units(many)
+        sizes = _sizes(units, "whole", "key").withColumns({"own": _blocks(F.col("top.size")), "blocks": _blocks(F.col("m") - F.col("top.size"))})
+        many = units.join(sizes, ["whole", "key"]).join(bits.withColumnRenamed("id", "doc"), "doc")
+        inside, h = F.col("c") == F.col("top.c"), F.xxhash64("doc")
+        many = many.withColumn("b", F.when(inside, -1 - F.pmod(h, F.col("own"))).otherwise(F.pmod(h, F.col("blocks"))).cast("int"))
+        many = many.withColumn("o", F.explode(F.sequence(F.when(inside, 0).otherwise(-F.col("own")), F.col("blocks") - 1)))
+        dealt = many.select("whole", "key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", F.col("doc").alias("id"), "c", "n", "bits")
+        pairs = pairs.union(dealt.groupBy("whole", "key", "i", "j").applyInPandas(_block_pairs(percent), "a long, b long"))
     pairs = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "more-pairs")
     if not pairs.isEmpty():
         links = cut(links.union(_verified(pairs, bits, docs, width, percent, "more-links")), "all-links")

@@ -96,7 +96,7 @@ def connected(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        above = stored(both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        above = stored(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = above.groupBy("u").agg(F.min("v").alias("m"))
         below = above.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         after = stored(below.union(low.select("u", F.col("m").alias("v"))).distinct())
